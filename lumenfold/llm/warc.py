@@ -76,9 +76,9 @@ def write(pages: DataFrame, path: str, min_payload: int = 0, **columns) -> None:
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """The archives cut at the magic line: file, place n in it, offset of the magic, piece after it."""
+    """The archives cut at the magic line: file, split and row (their order), the piece after the magic."""
     raw = spark.read.option("lineSep", MAGIC).text(path)
-    raw = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    raw = raw.select("value", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
     return raw.withColumn("size", F.octet_length("value").cast("long"))
 
 
@@ -112,24 +112,24 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     # the first piece of a file is what stands before its first magic: nothing, if the file is sound
     p = p.withColumn("n", F.row_number().over(order) - 2)
     p = p.withColumn("offset", F.sum("size").over(order) - F.col("size") + F.col("n") * magic)
-    return p.withColumn("succ", F.col("offset") + F.col("span"))
+    p = p.withColumn("succ", F.col("offset") + F.col("span"))
+    # a run: candidates of which each ends where the next begins
+    begins = F.when(F.lag("succ").over(order).eqNullSafe(F.col("offset")), 0).otherwise(1)
+    return p.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order)).drop("begins").where("n >= 0")
 
 
 def reachable(found: DataFrame) -> DataFrame:
-    """(file, offset) of the candidates on the chain from offset 0 of each file, by pointer jumping.
+    """(file, run, enter): the runs on the chain from offset 0 of each file, and where it enters them.
 
-    A pointer first leaps to the end of the run of candidates that each end where the next begins; it
-    then doubles each round, until no pointer of a reached run leads to a run not reached.
+    A pointer first leaps to the end of its run; it then doubles each round, until no pointer of what is
+    reached leads to anything new. A file without magic in payloads is one run.
     """
-    w = Window.partitionBy("file").orderBy("offset")
-    c = found.where("n >= 0").select("file", "offset", "succ").withColumn("begins", F.when(F.lag("succ").over(w).eqNullSafe(F.col("offset")), 0).otherwise(1))
-    c = c.withColumn("run", F.sum("begins").over(w))
-    c = stored(c, "warc-chain")
+    c = found.select("file", "run", "offset", "succ")
     runs = c.groupBy("file", "run").agg(F.min("offset").alias("head"), F.max_by("succ", "offset").alias("jump"))
     at = c.select("file", F.col("offset").alias("jump"), F.col("run").alias("to"))
     edges = stored(runs.join(at, ["file", "jump"], "left").select("file", "run", "head", F.col("jump").alias("enter"), "to"), "warc-runs")
     # after k rounds: what less than 2**k leaps reach; a pointer leaps 2**k runs, and one row of each run holds it
-    reached = edges.where("run = 1 and head = 0").select("file", "run", F.lit(0).cast("long").alias("enter"))
+    reached = edges.where("head = 0").select("file", "run", F.lit(0).cast("long").alias("enter"))
     jump = edges.where("to is not null").select("file", "run", "to", "enter")
     while not jump.isEmpty():
         leap = reached.select("file", "run").join(jump, ["file", "run"]).select("file", F.col("to").alias("run"), "enter")
@@ -140,8 +140,7 @@ def reachable(found: DataFrame) -> DataFrame:
         a, b = jump.alias("a"), jump.alias("b")
         far = a.join(b, (F.col("a.file") == F.col("b.file")) & (F.col("a.to") == F.col("b.run")))
         jump = stored(far.select("a.file", "a.run", F.col("b.to").alias("to"), F.col("b.enter").alias("enter")), "warc-jump")
-    entered = reached.groupBy("file", "run").agg(F.min("enter").alias("enter"))
-    return c.join(entered, ["file", "run"]).where("offset >= enter").select("file", "offset")
+    return reached
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -150,7 +149,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     A response's size and digest come from the payload read; a revisit's from its headers.
     """
     found = stored(candidates(spark, path), "warc-candidates")
-    kept = found.join(reachable(found), ["file", "offset"], "left_semi")
+    kept = found.join(reachable(found), ["file", "run"]).where("offset >= enter")
     whole = kept.where("type = 'revisit' or payload_bytes is not null")
     torn = kept.where("type = 'response' and payload_bytes is null").select("file", "n", "offset", "succ", "page_id")
     columns = [
@@ -160,7 +159,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         F.col("type").alias("record_type"),
         "refers_to",
     ]
-    return whole.select(*columns).unionByName(_rejoined(spark, path, found, torn))
+    out = whole.select(*columns)
+    return out if torn.isEmpty() else out.unionByName(_rejoined(spark, path, found, torn))
 
 
 def _rejoined(spark: SparkSession, path: str, found: DataFrame, torn: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def _rejoined(spark: SparkSession, path: str, found: DataFrame, torn: DataFrame)
     rows = found.select("file", "split", "row", F.col("n").alias("piece"), F.col("offset").alias("place"))
     parts = rows.join(torn, "file").where("place >= offset and place < succ").select("file", "split", "row", "piece", "n", "offset", "page_id")
     text = _pieces(spark, path).select("file", "split", "row", "value")
-    block = parts.join(text, ["file", "split", "row"]).groupBy("file", "offset", "page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "value"))), lambda x: x["value"]), MAGIC).alias("value"))
+    block = stored(parts, "warc-torn").join(text, ["file", "split", "row"]).groupBy("file", "offset", "page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "value"))), lambda x: x["value"]), MAGIC).alias("value"))
     block = block.select("page_id", F.expr("substring(value, instr(value, '\r\n\r\n') + 4)").alias("body"))
     body = block.select("page_id", F.expr("substring(body, instr(body, '\r\n\r\n') + 4)").alias("payload"))
     body = body.select("page_id", F.expr("left(payload, char_length(payload) - 4)").alias("payload"))
