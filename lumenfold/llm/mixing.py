@@ -31,7 +31,7 @@ from .common import documents, stored
 #: Slots of the whole mix, at least one for each source's share.
 SLOTS = 1 << 16
 #: Rows that one ranking task sorts, about.
-CHUNK_ROWS = 1 << 16
+CHUNK_ROWS = 1 << 12
 MAX_REPEAT = 3
 #: The golden ratio's fraction in 62-bit fixed point.
 PHI62 = (math.isqrt(5 << 124) - (1 << 62)) >> 1
