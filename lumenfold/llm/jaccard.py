@@ -10,7 +10,7 @@ near its band's top is signed for the next band too. Nothing similar is missed.
 
 Signatures that one node has alone end in a combining aggregation. The others form stars: each node with
 the smallest node of its signature, never all pairs. Stars are verified on whole sets, strongest first,
-and linked nodes become components. Only where a signature still spans several components are pairs
+and linked nodes become components; a few rounds of stars with other centres join what is dense. Only where a signature still spans several components are pairs
 across them verified, those whose sizes and distances to the star's centre allow a link: by the triangle
 inequality of the Jaccard distance nothing else can link. So every link between different components is
 examined, and the components are exact, whatever the size of a group.
@@ -35,6 +35,8 @@ from .common import Words, documents, grams, map_texts, mix, runs, stored
 SHINGLE, SIMILARITY = 3, 90
 #: Sizes of a band grow by this much, partitions exceed k + 1 by this much and by EXTRA.
 BAND, SPARE, EXTRA = 1.25, 1.25, 2
+#: Further stars, each round of other centres, before pairs across components are formed.
+TURNS = 4
 #: Members that a verifying group holds for each copy of its centre's set.
 GROUP = 256
 _C = np.uint64(0xA0761D6478BD642F)
@@ -210,6 +212,12 @@ def join(df: DataFrame, percent: int = SIMILARITY, n: int = SHINGLE) -> DataFram
     rest = spokes.select("a", "b").join(best, ["a", "b"], "left_anti")
     known = known.unionByName(verified(rest.select("a", "b"), sets, "jac-rest"))
     comp = components(linked(known, percent))
+    for turn in range(TURNS):
+        again = stored(_turned(star, comp, turn).join(known.select("a", "b"), ["a", "b"], "left_anti"), "jac-turn")
+        if again.isEmpty():
+            break
+        known = known.unionByName(verified(again, sets, "jac-turned"))
+        comp = components(linked(known, percent))
     cross = _across(star, known, comp, percent)
     more = linked(verified(cross, sets, "jac-cross"), percent)
     comp = components(linked(known, percent).unionByName(more))
@@ -219,6 +227,14 @@ def join(df: DataFrame, percent: int = SIMILARITY, n: int = SHINGLE) -> DataFram
     return node.join(least, "comp").select("doc_id", "tp", "n_shingles", "component_id", "uid", "comp")
 
 
+def _turned(star: DataFrame, comp: DataFrame, turn: int) -> DataFrame:
+    """Stars of another centre: of each signature that spans components, the pairs (a, b) across them."""
+    m = star.select("sig", "b").join(comp.withColumnRenamed("uid", "b"), "b", "left").withColumn("comp", F.coalesce("comp", "b"))
+    centre = F.min(F.struct(F.xxhash64("b", F.lit(turn)).alias("h"), F.col("b").alias("a"), F.col("comp").alias("own")))
+    mixed = m.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), centre.alias("c")).where("lo != hi").select("sig", "c.a", "c.own")
+    return m.join(stored(mixed, "jac-centres"), "sig").where("comp != own").select("a", "b").distinct()
+
+
 def _across(star: DataFrame, known: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of one signature that stand in different components and may link."""
     away = known.select("a", "b", (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("far"))
