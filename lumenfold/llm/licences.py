@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -106,11 +106,12 @@ def scan(df: DataFrame, text: str = "text", key: str = "doc_id", rarest: int = R
     weights = [sum(idf[w] for w in sorted(set(t.split()), key=lambda w: (-idf[w], w))[:rarest]) for _, t, _ in TEMPLATES]
     hit = d.where("words is not null").select("doc_id", "n_words", "words")
     lookup = F.slice(F.array_intersect(F.lit(rare_first).cast("array<string>"), F.col("words")), 1, rarest * len(TEMPLATES))
-    hit = hit.withColumn("lookup", lookup)
+    # written tables: lambdas below read columns, where a merged plan would redo the words for each element
+    hit = stored(hit.withColumn("lookup", lookup), "licence-words")
     where = F.filter(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0))), lambda i: F.array_contains(F.col("lookup"), F.get(F.col("words"), i)))
     postings_of = F.flatten(F.transform(where, lambda i: F.transform(F.element_at(index, F.get(F.col("words"), i)), lambda p: F.struct(p["t"].alias("t"), (i - p["at"]).alias("shift"), F.element_at(weight, F.get(F.col("words"), i)).alias("w")))))
     hit = hit.withColumn("hits", postings_of)
-    hit = hit.withColumn("spaced", _spaced(F.col("words")))
+    hit = stored(hit.withColumn("spaced", _spaced(F.col("words"))), "licence-hits")
     best = []
     for t, (_, _, phrases) in enumerate(TEMPLATES):
         proved = _any([F.contains("spaced", F.lit(f" {p} ")) for p in phrases])
