@@ -290,7 +290,7 @@ g as (select doc_id, i, count(*) over (partition by words[i:i + 34]) as places f
 c as (select distinct doc_id, unnest(range(i, i + 35)) as j from g where places > 1),
 m as (select doc_id, list(j) as gone from c group by doc_id),
 k as (select w.doc_id, len(words) as n_words, coalesce(gone, []) as gone,
-  array_to_string(list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), z -> not list_contains(coalesce(gone, []), z[2])), z -> z[1]), ' ') as kept
+  array_to_string(list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), lambda z: not list_contains(coalesce(gone, []), z[2])), lambda z: z[1]), ' ') as kept
   from w left join m using (doc_id))
 select doc_id, n_words::bigint as n_words, len(gone)::bigint as n_removed, sha256(kept) as kept_sha256 from k"""
 }
