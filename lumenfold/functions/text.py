@@ -93,3 +93,56 @@ def visible_text(c) -> Column:
     """Markup without scripts and tags, white space joined."""
     no = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"(?is)<(script|style|noscript|template|svg)[^>]*>.*?</(script|style|noscript|template|svg)>", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(no, r"(?s)<[^>]*>", " "), r"[ \t\n\r]+", " "))
+
+
+def shortcode(c) -> Column:
+    """The id of a post in its URL, '' if none."""
+    return F.regexp_extract(col(c), r"/(?:p|reel)/([^/?#]+)", 1)
+
+
+def url_owner(c) -> Column:
+    return F.regexp_extract(col(c), r"^https?://[^/]+/([^/]+)/(?:p|reel)/", 1)
+
+
+def url_expiry(c) -> Column:
+    """Seconds since 1970 from the hexadecimal parameter oe, null if none."""
+    return F.conv(F.nullif(F.regexp_extract(col(c), r"[?&]oe=([0-9A-Fa-f]+)", 1), F.lit("")), 16, 10).cast("long")
+
+
+def html_links(c) -> Column:
+    """Distinct link targets, as first met."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit('href="([^"]+)"'), F.lit(1)))
+
+
+def caption_header(c) -> Column:
+    """(likes, replies, author, caption) of 'N likes, M comments - user on DATE: "caption"', each on its own pattern."""
+    part = lambda p: F.regexp_extract(col(c), p, 1)
+    return F.struct(parse_count(part(r"([\d.,]+[KM]?) likes?")).alias("likes"), parse_count(part(r"([\d.,]+[KM]?) comments?")).alias("replies"), part(r"- ([\w.]+) on ").alias("author"), part(r'(?s): "(.*)"$').alias("caption"))
+
+
+def caps_words(c) -> Column:
+    """Words of three capitals or more, outside tags and mentions."""
+    words = F.regexp_extract_all(strip_tags_mentions(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}{3,}$")))
+
+
+def language(toks: Column, first: list[str], second: list[str], names: tuple[str, str] = ("en", "es"), least: int = 2) -> Column:
+    """The first language if at least so many of its function words stand there, and more than of the second's."""
+    count = lambda words: F.size(F.filter(toks, lambda w: w.isin(words)))
+    return F.when(F.size(toks) >= 2, F.when((count(first) >= least) & (count(first) > count(second)), names[0]).otherwise(names[1]))
+
+
+def parse_attempts(c) -> Column:
+    """A number of attempts from free text: digits alone, '20' anywhere, or '5-10' as 7; else null."""
+    t = F.trim(col(c))
+    return F.when(t.rlike(r"^\d+$"), t.try_cast("long")).when(t.contains("20"), 20).when(t == "5-10", 7).cast("long")
+
+
+def parse_hours(c) -> Column:
+    """Hours from '4 h' or '2-3 hrs': the first of a range; null if it is no number."""
+    return F.get(F.split(F.regexp_replace(F.lower(F.trim(col(c))), r"\s*(h|hrs?|hours?)$", ""), "-"), F.lit(0)).try_cast("double")
+
+
+def fmt_pct(k, n) -> Column:
+    """'k/n (p%)' with one decimal, ties to even."""
+    return F.format_string("%d/%d (%.1f%%)", col(k), col(n), F.bround(100 * col(k) / col(n), 1))

@@ -14,6 +14,29 @@ def cascade(rules: list[tuple[str, Column]], otherwise: str | None = None) -> Co
     return out
 
 
+def verdict(rules: list[tuple[str, str, Column]], otherwise: tuple[str, str]) -> Column:
+    """(verdict, reason) of the first rule that holds."""
+    pair = lambda v, r: F.struct(F.lit(v).alias("verdict"), F.lit(r).alias("reason"))
+    out = pair(*otherwise)
+    for v, r, test in reversed(rules):
+        out = F.when(test, pair(v, r)).otherwise(out)
+    return out
+
+
+def echoes(text: Column, caption: Column, chars: int = 40) -> Column:
+    """Whether a comment repeats the caption: all of it, or its own first characters stand in it."""
+    return (text == caption) | F.contains(caption, F.left(text, F.lit(chars)))
+
+
+def exclusions(sources: list[tuple[str, DataFrame]], key: str = "id") -> DataFrame:
+    """(key, reason): every key that a source names, with the first source's name; one shuffle on the key."""
+    every = None
+    for place, (reason, df) in enumerate(sources):
+        rows = df.select(key, F.struct(F.lit(place).alias("place"), F.lit(reason).alias("reason")).alias("r"))
+        every = rows if every is None else every.unionByName(rows)
+    return every.groupBy(key).agg(F.min("r").alias("r")).select(key, "r.reason")
+
+
 def funnel(df: DataFrame, stages: list[tuple[str, Column]]) -> DataFrame:
     """(stage, place, n, of_previous, of_total): rows that pass each stage and all before it."""
     passed, sums = F.lit(True), []

@@ -10,23 +10,11 @@ from ..functions import text as X
 from ..operators import event_windows as ew
 from ..operators import rules as R
 from ..operators import statistics as S
-from ..sources.tables import table
 from . import windows as W
+from .registry import registrar
 
 QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None):
-    """Registers a function (a reader of tables) -> DataFrame under its name, with its SQL."""
-
-    def put(f):
-        QUERIES[f.__name__] = lambda spark, sf: f(lambda name: table(spark, sf, name))
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return put
-
+query = registrar(QUERIES, ORACLES)
 
 r6 = lambda c: F.round(c, 6)
 
