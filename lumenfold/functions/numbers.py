@@ -55,3 +55,65 @@ def cut_bin(x, cuts: list[float]) -> Column:
 def element_quantile(x, index: Column) -> Column:
     """An order statistic: the element of the sorted values at a 0-based place."""
     return F.get(F.array_sort(F.collect_list(col(x))), index.cast("int"))
+
+
+def months(first, last) -> Column:
+    """Months of 30.44 days between two dates, three at least."""
+    return F.greatest(F.lit(3.0), F.datediff(col(last), col(first)) / 30.44)
+
+
+def fisher_p(a, b, c, d) -> Column:
+    """Two-sided exact test of a 2 x 2 table: the tables that are no likelier than the one seen.
+
+    Log-odds between neighbouring tables follow from each other, so nothing overflows and no gamma
+    function is needed: one pass finds the seen and the largest term, another sums.
+    """
+    a, b, c, d = (col(x).cast("long") for x in (a, b, c, d))
+    row, column, rest = a + b, a + c, d - a
+    lo = F.greatest(F.lit(0).cast("long"), -rest)
+    steps = F.sequence(lo, F.least(row, column))
+    nxt = lambda x: F.log(((row - x + 1) * (column - x + 1)).cast("double") / (x * (x + rest)))
+    zero = F.lit(0.0)
+    first = F.struct(zero.alias("l"), zero.alias("seen"), zero.alias("top"))
+
+    def look(acc, x):
+        l = F.when(x == lo, zero).otherwise(acc["l"] + nxt(x))
+        return F.struct(l.alias("l"), F.when(x == a, l).otherwise(acc["seen"]).alias("seen"), F.greatest(acc["top"], l).alias("top"))
+
+    found = F.aggregate(steps, first, look)
+
+    def add(acc, x):
+        l = F.when(x == lo, zero).otherwise(acc["l"] + nxt(x))
+        e = F.exp(l - found["top"])
+        return F.struct(l.alias("l"), (acc["s"] + F.when(l <= found["seen"] + 1e-7, e).otherwise(zero)).alias("s"), (acc["all"] + e).alias("all"))
+
+    return F.aggregate(steps, F.struct(zero.alias("l"), zero.alias("s"), zero.alias("all")), add, lambda t: F.least(F.lit(1.0), t["s"] / t["all"]))
+
+
+def sign_mde(n, alpha: float = 0.05) -> Column:
+    """The least number of n pairs on one side that the exact sign test calls significant, else null."""
+    k = F.sequence(F.ceil(col(n) / 2), col(n))
+    return F.array_min(F.filter(k, lambda x: sign_p(x, col(n) - x) <= alpha))
+
+
+def beta_upper(k, n, level: float = 0.975, rounds: int = 50) -> Column:
+    """The exact upper bound of k in n: the rate at which k or fewer have the probability 1 - level, by bisection."""
+    k, n = col(k).cast("long"), col(n).cast("long")
+
+    def below(p):
+        first = F.struct((n * F.log1p(-p)).alias("l"), F.exp(n * F.log1p(-p)).alias("s"))
+
+        def add(acc, i):
+            l = acc["l"] + F.log((n - i + 1) / i) + F.log(p) - F.log1p(-p)
+            return F.struct(l.alias("l"), (acc["s"] + F.exp(l)).alias("s"))
+
+        return F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>")), first, add, lambda t: t["s"])
+
+    def halve(acc, _):
+        mid = (acc["lo"] + acc["hi"]) / 2
+        over = below(mid) > 1 - level
+        return F.struct(F.when(over, mid).otherwise(acc["lo"]).alias("lo"), F.when(over, acc["hi"]).otherwise(mid).alias("hi"))
+
+    ends = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+    bound = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), ends, halve, lambda t: t["hi"])
+    return F.when(n == 0, None).when(k >= n, 1.0).otherwise(bound)

@@ -146,3 +146,15 @@ def parse_hours(c) -> Column:
 def fmt_pct(k, n) -> Column:
     """'k/n (p%)' with one decimal, ties to even."""
     return F.format_string("%d/%d (%.1f%%)", col(k), col(n), F.bround(100 * col(k) / col(n), 1))
+
+
+def evidence(c, bank: list, agree: int = 2) -> Column:
+    """(value, confidence) of the best signal of a bank of (confidence, pattern, column rule), the best first.
+
+    The first pattern that is found decides; another one within agree of it adds '+' to the confidence.
+    """
+    values = [(conf, rule(F.nullif(F.regexp_extract(col(c), p, 1), F.lit("")).cast("long"))) for conf, p, rule in bank]
+    best = F.coalesce(*[v for _, v in values])
+    name = F.coalesce(*[F.when(v.isNotNull(), F.lit(conf)) for conf, v in values])
+    near = sum((F.coalesce(F.abs(v - best) <= agree, F.lit(False)).cast("int") for _, v in values), F.lit(0))
+    return F.struct(best.alias("value"), F.when(near > 1, F.concat(name, F.lit("+"))).otherwise(name).alias("confidence"))

@@ -32,10 +32,7 @@ def disagreements(df: DataFrame, categories: list[str], a: str = "a_", b: str =
 
 
 def validity_sample(df: DataFrame, key: str, share: float = 0.2, seed: str = "v") -> DataFrame:
-    """A share of the rows in hash order, one at least: a top-k, so rows of no interest are never shuffled.
-
-    The bound of the share is the order's quantile; the exact number is cut from what lies below it.
-    """
+    """A share of the rows in hash order, one at least."""
     n = df.count()
     take = max(1, int(share * n + 0.5)) if n else 0
     return df.orderBy(keyed(seed, key), key).limit(take)

@@ -6,10 +6,10 @@ large test sends one row a value to its window.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import normal_tail
+from ..functions.numbers import col, normal_tail, sign_p
 
 
 def midranks(df: DataFrame, test: str, value: str, *groups: str) -> DataFrame:
@@ -68,3 +68,56 @@ def smd(df: DataFrame, test: str, value: str, case: str) -> DataFrame:
     s = df.groupBy(test).agg(*[pick(f, on).alias(f"{n}{int(on)}") for on in (True, False) for n, f in (("m", F.avg), ("v", F.var_pop), ("md", F.median))])
     den = F.sqrt((F.col("v1") + F.col("v0")) / 2)
     return s.withColumn("smd", F.when(den == 0, F.lit(0.0)).otherwise((F.col("m1") - F.col("m0")) / den))
+
+
+def delong(df: DataFrame, test: str, value: str, positive: str, z: float = 1.959963984540054) -> DataFrame:
+    """By test: auc and its normal interval from placement values, clipped to 0 and 1.
+
+    A row's placement is its rank among all less its rank within its class, so ranks of distinct values
+    take the place of all pairs of classes.
+    """
+    r = midranks(df, test, value, positive)
+    upto = Window.partitionBy(test).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(test)
+    p, q = F.col(positive), F.col("n") - F.col(positive)
+    r = r.withColumn("__q", q)
+    r = r.withColumn("__below1", F.coalesce(F.sum(p).over(upto), F.lit(0))).withColumn("__below0", F.coalesce(F.sum("__q").over(upto), F.lit(0)))
+    r = r.withColumn("__n1", F.sum(p).over(whole)).withColumn("__n0", F.sum("__q").over(whole))
+    r = r.withColumn("__v1", (F.col("__below0") + F.col("__q") / 2) / F.nullif("__n0", F.lit(0)))
+    r = r.withColumn("__v0", 1 - (F.col("__below1") + p / 2) / F.nullif("__n1", F.lit(0)))
+    r = r.withColumn("__auc", F.sum(p * F.col("__v1")).over(whole) / F.nullif("__n1", F.lit(0)))
+    spread = lambda n, v: F.sum(n * F.pow(F.col(v) - F.col("__auc"), F.lit(2))) / F.nullif(F.sum(n) - 1, F.lit(0)) / F.nullif(F.sum(n), F.lit(0))
+    a = r.groupBy(test).agg(F.max("__auc").alias("auc"), F.sqrt(spread(p, "__v1") + spread(F.col("__q"), "__v0")).alias("se"))
+    return a.select(test, "auc", "se", F.greatest(F.lit(0.0), F.col("auc") - z * F.col("se")).alias("lo"), F.least(F.lit(1.0), F.col("auc") + z * F.col("se")).alias("hi"))
+
+
+def paired(df: DataFrame, test: str, near: str, base: str) -> DataFrame:
+    """By test over entities with both values: n, up, down, tie, median difference, exact sign p."""
+    d = df.where(F.col(near).isNotNull() & F.col(base).isNotNull()).select(test, F.round(F.col(near) - F.col(base), 9).alias("d"))
+    s = d.groupBy(test).agg(F.count("*").alias("n"), F.count_if(F.col("d") > 0).alias("up"), F.count_if(F.col("d") < 0).alias("down"), F.count_if(F.col("d") == 0).alias("tie"), F.median("d").alias("diff"))
+    return s.withColumn("sign_p", sign_p("up", "down"))
+
+
+def kappa_grade(k) -> Column:
+    """The customary name of a kappa."""
+    out = F.lit("almost perfect")
+    for bound, name in ((0.8, "substantial"), (0.6, "moderate"), (0.4, "fair"), (0.2, "slight")):
+        out = F.when(col(k) < bound, name).otherwise(out)
+    return F.when(col(k).isNull(), "undefined").when(F.round(col(k), 9) < 0, "poor").otherwise(out)
+
+
+def kappa_boot(df: DataFrame, a: str, b: str, replicates: int = 2000, seed: str = "k") -> DataFrame:
+    """(lo, hi, replicates): percentile interval of kappa over resampled rows.
+
+    Kappa depends on four cell counts alone, so draws fall into the cells by their cumulative counts: rows
+    are never joined with replicates, and draws are summed by replicate before the shuffle.
+    """
+    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).agg(*[F.count_if((F.col(a) == x) & (F.col(b) == y)).alias(f"c{x}{y}") for x in (0, 1) for y in (0, 1)])
+    n = F.col("c00") + F.col("c01") + F.col("c10") + F.col("c11")
+    d = cells.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).repartition("b").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    at = F.conv(F.left(F.md5(F.concat(F.lit(f"{seed}:"), F.col("b").cast("string"), F.lit(":"), F.col("i").cast("string"))), F.lit(12)), 16, 10).cast("long") % n
+    d = d.withColumn("at", at)
+    x = (F.col("at") >= F.col("c00") + F.col("c01")).cast("int")
+    y = ((F.col("at") >= F.col("c00")) & (F.col("at") < F.col("c00") + F.col("c01")) | (F.col("at") >= F.col("c00") + F.col("c01") + F.col("c10"))).cast("int")
+    k = kappa(d.select("b", x.alias("x"), y.alias("y")), "x", "y", "b")
+    return k.agg(F.percentile("kappa", F.lit(0.025)).alias("lo"), F.percentile("kappa", F.lit(0.975)).alias("hi"), F.count("kappa").alias("replicates"))

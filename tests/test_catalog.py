@@ -45,3 +45,42 @@ def test_published_statistics(spark):
     df = spark.createDataFrame([(7, 10), (0, 3), (8, 12), (0, 0)], "up long, down long")
     assert [None if r.p is None else round(r.p, 4) for r in df.select(sign_p("up", "down").alias("p")).collect()] == [0.6291, 0.25, 0.5034, None]
     assert math.isclose(df.select(F.sum("up")).first()[0], 15)
+
+
+def test_exact_bounds(spark):
+    from lumenfold.functions.numbers import beta_upper, fisher_p
+
+    df = spark.createDataFrame([(0, 104), (11, 80)], "k long, n long")
+    assert [round(100 * r.u, 1) for r in df.select(beta_upper("k", "n").alias("u")).collect()] == [3.5, 23.3]
+    df = spark.createDataFrame([(24, 6, 70, 4)], "a long, b long, c long, d long")
+    assert round(df.select(fisher_p("a", "b", "c", "d").alias("p")).first().p, 3) == 0.032
+
+
+def test_greedy_matching(spark):
+    from lumenfold.operators.matching import matched
+
+    rows = [("b", 1, True, 10.0), ("b", 2, True, 11.0), ("b", 3, False, 10.4), ("b", 4, False, 30.0), ("c", 5, True, 1.0)]
+    got = matched(spark.createDataFrame(rows, "block string, id long, is_case boolean, score double"), ["block"], "id", "is_case", "score", 1).collect()
+    assert sorted((r.case_key, r.control_key) for r in got) == [(1, 3), (2, 4)]
+
+
+def test_model_separates(spark):
+    from lumenfold.operators.modelling import cv_auc
+
+    rows = [(i, i % 2, float(i % 2) + (i * 37 % 11) / 20, (i * 53 % 17) / 17.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, y int, good double, noise double")
+    assert cv_auc(df, "id", "y", ["good"], repeats=2).first().mean_auc > 0.95
+    assert 0.2 < cv_auc(df, "id", "y", ["noise"], repeats=2).first().mean_auc < 0.8
+
+
+def test_stream_appends_once(spark, tmp_path):
+    from lumenfold.streaming.incremental import append, resume, snowball
+
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    spark.range(5).write.parquet(src)
+    for _ in range(2):
+        append(spark.readStream.schema("id long").parquet(src), lambda b: b, out, ck, ["id"]).awaitTermination()
+    done = spark.read.schema("id long").option("recursiveFileLookup", "true").parquet(out)
+    assert done.count() == 5 and resume(spark.range(7), done, ["id"]).count() == 2
+    step = lambda f: f.where("id < 6").selectExpr("id + 2 as id")
+    assert sorted(r.id for r in snowball(spark.range(1), step, "id", lambda d: d.checkpoint()).collect()) == [0, 2, 4, 6]
