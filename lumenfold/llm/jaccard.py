@@ -3,10 +3,11 @@
 Documents with equal sets are one node. Sizes fall into bands; sets of size at most u with a Jaccard
 similarity of 90/100 or more differ in at most k = floor(2u * 10 / 190) elements. A band's instance
 hashes the feature domain into P > k + 1 partitions, and of the subsets of partitions enumerates the
-single ones: k differences leave at least P - k partitions equal, and fewer than P - k are smaller than a
-set's (P - k)-th smallest, so two similar sets share a partition that both have among their k + 1 largest
-or equal to these. Only those are signed, which keeps tiny partitions from joining unrelated sets. A set
-near its band's top is signed for the next band too. Nothing similar is missed.
+single ones: d <= k differences leave at least P - d partitions equal. Put in one order for all sets, by
+falling number of elements and then by value, the first d + 1 signatures of two such sets have one in
+common, so a set signs only as many as it may differ by, and one more. The order keeps tiny partitions
+from joining unrelated sets. A set near its band's top is signed for the next band too. Nothing similar
+is missed.
 
 Signatures that one node has alone end in a combining aggregation. The others form stars: each node with
 the smallest node of its signature, never all pairs. Stars are verified on whole sets, strongest first,
@@ -34,7 +35,7 @@ from .common import Words, documents, grams, map_texts, mix, runs, stored
 
 SHINGLE, SIMILARITY = 3, 90
 #: Sizes of a band grow by this much, partitions exceed k + 1 by this much and by EXTRA.
-BAND, SPARE, EXTRA = 1.25, 1.25, 2
+BAND, SPARE, EXTRA = 1.5, 1.25, 2
 #: Members that a verifying group holds for each copy of its centre's set.
 GROUP = 256
 _C = np.uint64(0xA0761D6478BD642F)
@@ -88,7 +89,9 @@ def signatures(owner: np.ndarray, value: np.ndarray, size: np.ndarray, percent:
         if not take.any():
             continue
         of = np.flatnonzero(take)
-        k, parts = table[inst[of], 1], table[inst[of], 2]
+        upto, parts, of_size = table[inst[of], 0], table[inst[of], 2], size[of]
+        # what a set differs by from a similar one of this band, at most
+        differ = (100 - percent) * (of_size + np.minimum(upto, of_size * 100 // percent)) // (100 + percent)
         lead = np.concatenate(([0], np.cumsum(parts)))
         rank = np.full(len(size), -1)
         rank[of] = np.arange(len(of))
@@ -102,13 +105,12 @@ def signatures(owner: np.ndarray, value: np.ndarray, size: np.ndarray, percent:
         start = np.concatenate(([0], np.cumsum(count)[:-1]))
         total = _sums(v[order], start, count)
         set_of = np.repeat(np.arange(len(of)), parts)
-        ranked = np.lexsort((count, set_of))
-        least = count[ranked[lead[:-1] + parts - k - 1]]
-        keep = np.flatnonzero(count >= least[set_of])
-        s = set_of[keep]
-        tag = (inst[of][s] * (1 << 32) + keep - lead[s]).astype(np.uint64)
-        texts.append(of[s])
-        sigs.append(mix(total[keep] + mix(tag)))
+        place = np.arange(len(set_of)) - lead[set_of]
+        sig = mix(total + mix((inst[of][set_of] * (1 << 32) + place).astype(np.uint64)))
+        ranked = np.lexsort((sig, -count, set_of))
+        keep = ranked[place <= differ[set_of]]
+        texts.append(of[set_of[keep]])
+        sigs.append(sig[keep])
     if not texts:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(texts), np.concatenate(sigs)
@@ -190,9 +192,12 @@ def join(df: DataFrame, percent: int = SIMILARITY, n: int = SHINGLE) -> DataFram
     docs = df.select("doc_id", F.xxhash64("text").alias("tp"), "text")
     rows = stored(signed(docs, percent, n).withColumn("uid", F.monotonically_increasing_id()), "jac-signed")
     nodes = stored(rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("uid").alias("node")), "jac-nodes")
-    sig = rows.join(nodes.select(F.col("node").alias("uid")), "uid", "left_semi").select("uid", "n", F.explode("sigs").alias("sig"))
-    shared = sig.groupBy("sig").agg(F.min("uid").alias("a"), F.max("uid").alias("z")).where("a != z").select("sig", "a")
-    star = stored(sig.join(shared, "sig").select("sig", "a", F.col("uid").alias("b"), F.col("n").alias("nb")), "jac-stars")
+    sig = rows.join(nodes.select(F.col("node").alias("uid")), "uid", "left_semi").select("uid", F.explode("sigs").alias("sig"))
+    # signatures are counted without their nodes, and only those that are shared carry more
+    shared = sig.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")
+    member = stored(sig.join(shared, "sig", "left_semi").select("sig", F.col("uid").alias("b")), "jac-members")
+    least = member.groupBy("sig").agg(F.min("b").alias("a"))
+    star = stored(member.join(least, "sig").join(nodes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b").select("sig", "a", "b", "nb"), "jac-stars")
     spokes = star.where("a != b").groupBy("a", "b").agg(F.count("*").alias("weight"))
     spokes = stored(spokes, "jac-spokes")
     key = rows.join(star.select(F.col("b").alias("uid")).distinct(), "uid", "left_semi").select("uid", F.col("doc_id").alias("d"), F.col("tp").alias("t"))
