@@ -10,11 +10,12 @@ from joining unrelated sets. A set near its band's top is signed for the next ba
 is missed.
 
 Signatures that one node has alone end in a combining aggregation. The others form stars: each node with
-the smallest node of its signature, never all pairs. Stars are verified on whole sets, strongest first,
-and linked nodes become components. Only where a signature still spans several components are pairs
-across them verified, those whose sizes and distances to the star's centre allow a link: by the triangle
-inequality of the Jaccard distance nothing else can link. So every link between different components is
-examined, and the components are exact, whatever the size of a group.
+the smallest node of its signature, never all pairs. A set carries the parities of its elements' counts by
+hashed cell; an element by which two sets differ turns one parity at most, so pairs whose parities differ in
+more places than the limit allows cannot link, and only the others are verified on whole sets. Stars are
+verified first, strongest first, and linked nodes become components. Only where a signature still spans
+several components do pairs across them follow. So every link between different components is examined,
+and the components are exact, whatever the size of a group.
 
 Defined results: texts with fewer words than a shingle are one shingle; null and wordless texts have
 n_shingles 0 and are their own component; equal sets are linked; rows that repeat are rows of their own,
@@ -36,6 +37,8 @@ from .common import Words, documents, grams, map_texts, mix, runs, stored
 SHINGLE, SIMILARITY = 3, 90
 #: Sizes of a band grow by this much, partitions exceed k + 1 by this much and by EXTRA.
 BAND, SPARE, EXTRA = 1.5, 1.25, 2
+#: Cells of a set's parities for each element it may differ by, and the fewest and most 64-bit words of them.
+CELLS, LEAST, MOST = 12, 2, 32
 #: Members that a verifying group holds for each copy of its centre's set.
 GROUP = 256
 _C = np.uint64(0xA0761D6478BD642F)
@@ -116,8 +119,35 @@ def signatures(owner: np.ndarray, value: np.ndarray, size: np.ndarray, percent:
     return np.concatenate(texts), np.concatenate(sigs)
 
 
+def parities(owner: np.ndarray, value: np.ndarray, size: np.ndarray, percent: int = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit words, their number by text): how often elements fall into each cell, modulo 2."""
+    cells = CELLS * 2 * size * (100 - percent) / (100 + percent)
+    words = 1 << np.ceil(np.log2(np.clip(cells / 64, LEAST, MOST))).astype(np.int64)
+    lead = np.concatenate(([0], np.cumsum(words)[:-1]))
+    cell = mix(value ^ (_C + _C))
+    out = np.zeros(int(words.sum()), np.uint64)
+    place = lead[owner] + (cell >> np.uint64(6)).astype(np.int64) % words[owner]
+    np.bitwise_xor.at(out, place, np.uint64(1) << (cell & np.uint64(63)))
+    return out, words
+
+
+def may_link(na: Column, pa_: Column, nb: Column, pb: Column, percent: int) -> Column:
+    """Whether the sizes and parities of two sets allow a link."""
+
+    def halved(x: Column) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+
+    # numbers of words are powers of two; those of similar sets are equal or one is twice the other
+    x = F.when(F.size(pa_) > F.size(pb), halved(pa_)).otherwise(pa_)
+    y = F.when(F.size(pb) > F.size(pa_), halved(pb)).otherwise(pb)
+    apart = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, bits: total + bits)
+    sizes = F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
+    return sizes & (apart * (100 + percent) <= (na + nb) * (100 - percent))
+
+
 def signed(docs: DataFrame, percent: int = SIMILARITY, n: int = SHINGLE) -> DataFrame:
-    """(doc_id, tp, n, f1, f2, sigs) of each row of docs (doc_id, tp, text)."""
+    """(doc_id, tp, n, f1, f2, sigs, par) of each row of docs (doc_id, tp, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(kept: pa.Table, texts: list[bytes]) -> pa.Table:
@@ -128,11 +158,13 @@ def signed(docs: DataFrame, percent: int = SIMILARITY, n: int = SHINGLE) -> Data
         order = np.argsort(who, kind="stable")
         bounds = np.concatenate(([0], np.cumsum(np.bincount(who, minlength=len(texts)))))
         sigs = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(sig[order].view(np.int64)))
-        for name, x in (("n", pa.array(size.astype(np.int64))), ("f1", pa.array(f1.view(np.int64))), ("f2", pa.array(f2.view(np.int64))), ("sigs", sigs)):
+        words, many = parities(owner, value, size, percent)
+        par = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))), pa.int32()), pa.array(words.view(np.int64)))
+        for name, x in (("n", pa.array(size.astype(np.int64))), ("f1", pa.array(f1.view(np.int64))), ("f2", pa.array(f2.view(np.int64))), ("sigs", sigs), ("par", par)):
             kept = kept.append_column(name, x)
         return kept
 
-    return map_texts(docs, ["doc_id", "tp"], run, f"doc_id {kind}, tp bigint, n bigint, f1 bigint, f2 bigint, sigs array<bigint>")
+    return map_texts(docs, ["doc_id", "tp"], run, f"doc_id {kind}, tp bigint, n bigint, f1 bigint, f2 bigint, sigs array<bigint>, par array<bigint>")
 
 
 def _overlaps(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,10 +229,12 @@ def join(df: DataFrame, percent: int = SIMILARITY, n: int = SHINGLE) -> DataFram
     shared = sig.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")
     member = stored(sig.join(shared, "sig", "left_semi").select("sig", F.col("uid").alias("b")), "jac-members")
     least = member.groupBy("sig").agg(F.min("b").alias("a"))
-    star = stored(member.join(least, "sig").join(nodes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b").select("sig", "a", "b", "nb"), "jac-stars")
-    spokes = star.where("a != b").groupBy("a", "b").agg(F.count("*").alias("weight"))
-    spokes = stored(spokes, "jac-spokes")
-    key = rows.join(star.select(F.col("b").alias("uid")).distinct(), "uid", "left_semi").select("uid", F.col("doc_id").alias("d"), F.col("tp").alias("t"))
+    star = stored(member.join(least, "sig").where("a != b"), "jac-stars")
+    shape = rows.join(nodes.select(F.col("node").alias("uid")), "uid", "left_semi").select("uid", "n", "par")
+    spokes = star.groupBy("a", "b").agg(F.count("*").alias("weight"))
+    ends = spokes.join(shape.toDF("b", "nb", "pb"), "b").join(shape.toDF("a", "na", "pa"), "a")
+    spokes = stored(ends.where(may_link(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), percent)).select("a", "b", "weight"), "jac-spokes")
+    key = rows.join(member.select(F.col("b").alias("uid")).distinct(), "uid", "left_semi").select("uid", F.col("doc_id").alias("d"), F.col("tp").alias("t"))
     held = docs.join(key, docs["doc_id"].eqNullSafe(F.col("d")) & (docs["tp"] == F.col("t"))).select("uid", "text")
 
     def lift(kept: pa.Table, texts: list[bytes]) -> pa.Table:
@@ -212,29 +246,33 @@ def join(df: DataFrame, percent: int = SIMILARITY, n: int = SHINGLE) -> DataFram
     best = spokes.groupBy("b").agg(F.max(F.struct("weight", -F.col("a"))).alias("top")).select((-F.col("top.col2")).alias("a"), "b")
     known = verified(best, sets, "jac-first")
     comp = components(linked(known, percent))
-    rest = spokes.select("a", "b").join(best, ["a", "b"], "left_anti")
-    known = known.unionByName(verified(rest.select("a", "b"), sets, "jac-rest"))
-    comp = components(linked(known, percent))
-    cross = _across(star, known, comp, percent)
-    more = linked(verified(cross, sets, "jac-cross"), percent)
-    comp = components(linked(known, percent).unionByName(more))
+    rest = across(spokes.select("a", "b").join(best, ["a", "b"], "left_anti"), comp)
+    links = linked(known, percent).unionByName(linked(verified(rest, sets, "jac-rest"), percent))
+    comp = components(links)
+    cross = _across(star, shape, comp, percent)
+    comp = components(links.unionByName(linked(verified(cross, sets, "jac-cross"), percent)))
     node = rows.join(nodes, ["f1", "f2", "n"], "left").join(comp.withColumnRenamed("uid", "node"), "node", "left")
     node = node.select("doc_id", "tp", F.col("n").alias("n_shingles"), "uid", F.coalesce("comp", "node", "uid").alias("comp"))
     least = node.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return node.join(least, "comp").select("doc_id", "tp", "n_shingles", "component_id", "uid", "comp")
 
 
-def _across(star: DataFrame, known: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+def across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs (a, b) that stand in different components."""
+    ca, cb = comp.toDF("a", "ca"), comp.toDF("b", "cb")
+    apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
+    return pairs.join(ca, "a", "left").join(cb, "b", "left").where(apart).select("a", "b")
+
+
+def _across(star: DataFrame, shape: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of one signature that stand in different components and may link."""
-    away = known.select("a", "b", (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("far"))
-    m = star.where("a != b").join(away, ["a", "b"]).join(comp, star["b"] == comp["uid"], "left").select("sig", "a", "b", "nb", "far", F.coalesce("comp", "b").alias("comp"))
-    # the centre has been compared with every member, so members alone are left
+    # the centre has met every member, so members alone are left
+    m = star.select("sig", "b").join(comp.toDF("b", "c"), "b", "left").withColumn("comp", F.coalesce("c", "b"))
     mixed = m.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("sig")
-    m = stored(m.join(mixed, "sig", "left_semi"), "jac-mixed")
+    m = stored(m.join(mixed, "sig", "left_semi").join(shape.toDF("b", "nb", "par"), "b").select("sig", "b", "comp", "nb", "par"), "jac-mixed")
     x, y = m.alias("x"), m.alias("y")
-    reach = 1 - percent / 100 + 1e-9
-    small, large = F.least("x.nb", "y.nb"), F.greatest("x.nb", "y.nb")
-    on = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.b") < F.col("y.b")) & (small * 100 >= large * percent) & (F.abs(F.col("x.far") - F.col("y.far")) <= reach)
+    on = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.b") < F.col("y.b"))
+    on &= may_link(F.col("x.nb"), F.col("x.par"), F.col("y.nb"), F.col("y.par"), percent)
     return stored(x.join(y, on).select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct(), "jac-across")
 
 
