@@ -13,8 +13,9 @@ Signatures that one node has alone end in a combining aggregation. The others fo
 the smallest node of its signature, never all pairs. A set carries the parities of its elements' counts by
 hashed cell; an element by which two sets differ turns one parity at most, so pairs whose parities differ in
 more places than the limit allows cannot link, and only the others are verified on whole sets. Stars are
-verified first, strongest first, and linked nodes become components. Only where a signature still spans
-several components do pairs across them follow. So every link between different components is examined,
+verified first, strongest first, and linked nodes become components. Where a signature still spans several
+components its members meet a second centre, drawn by hash, so that a set meets another one by each of its
+signatures; where it spans several even then, the pairs across components follow. So every link between different components is examined,
 and the components are exact, whatever the size of a group.
 
 Defined results: texts with fewer words than a shingle are one shingle; null and wordless texts have
@@ -124,7 +125,7 @@ def parities(owner: np.ndarray, value: np.ndarray, size: np.ndarray, percent: in
     cells = CELLS * 2 * size * (100 - percent) / (100 + percent)
     words = 1 << np.ceil(np.log2(np.clip(cells / 64, LEAST, MOST))).astype(np.int64)
     lead = np.concatenate(([0], np.cumsum(words)[:-1]))
-    cell = mix(value ^ (_C + _C))
+    cell = mix(value - _C)
     out = np.zeros(int(words.sum()), np.uint64)
     place = lead[owner] + (cell >> np.uint64(6)).astype(np.int64) % words[owner]
     np.bitwise_xor.at(out, place, np.uint64(1) << (cell & np.uint64(63)))
@@ -249,7 +250,10 @@ def join(df: DataFrame, percent: int = SIMILARITY, n: int = SHINGLE) -> DataFram
     rest = across(spokes.select("a", "b").join(best, ["a", "b"], "left_anti"), comp)
     links = linked(known, percent).unionByName(linked(verified(rest, sets, "jac-rest"), percent))
     comp = components(links)
-    cross = _across(star, shape, comp, percent)
+    few = _mixed(star.select("sig", "b").join(shape.toDF("b", "nb", "par"), "b"), comp)
+    links = links.unionByName(linked(verified(_drawn(few, percent), sets, "jac-drawn"), percent))
+    comp = components(links)
+    cross = _across(_mixed(few.drop("comp"), comp), percent)
     comp = components(links.unionByName(linked(verified(cross, sets, "jac-cross"), percent)))
     node = rows.join(nodes, ["f1", "f2", "n"], "left").join(comp.withColumnRenamed("uid", "node"), "node", "left")
     node = node.select("doc_id", "tp", F.col("n").alias("n_shingles"), "uid", F.coalesce("comp", "node", "uid").alias("comp"))
@@ -264,12 +268,24 @@ def across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return pairs.join(ca, "a", "left").join(cb, "b", "left").where(apart).select("a", "b")
 
 
-def _across(star: DataFrame, shape: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of one signature that stand in different components and may link."""
-    # the centre has met every member, so members alone are left
-    m = star.select("sig", "b").join(comp.toDF("b", "c"), "b", "left").withColumn("comp", F.coalesce("c", "b"))
+def _mixed(member: DataFrame, comp: DataFrame) -> DataFrame:
+    """member (sig, b, nb, par) with comp, where a signature spans several components."""
+    # the star's centre has met every member, so members alone are left
+    m = member.join(comp.toDF("b", "c"), "b", "left").withColumn("comp", F.coalesce("c", "b"))
     mixed = m.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("sig")
-    m = stored(m.join(mixed, "sig", "left_semi").join(shape.toDF("b", "nb", "par"), "b").select("sig", "b", "comp", "nb", "par"), "jac-mixed")
+    return stored(m.join(mixed, "sig", "left_semi").select("sig", "b", "nb", "par", "comp"), "jac-mixed")
+
+
+def _drawn(m: DataFrame, percent: int) -> DataFrame:
+    """The pairs of each signature's drawn centre and members of other components that may link."""
+    centre = m.groupBy("sig").agg(F.min_by(F.struct("b", "nb", "par", "comp"), F.xxhash64("sig", "b")).alias("x"))
+    on = (F.col("x.comp") != F.col("comp")) & may_link(F.col("x.nb"), F.col("x.par"), F.col("nb"), F.col("par"), percent)
+    pairs = m.join(centre, "sig").where(on).select(F.least("x.b", "b").alias("a"), F.greatest("x.b", "b").alias("b"))
+    return stored(pairs.distinct(), "jac-pairs")
+
+
+def _across(m: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of one signature that stand in different components and may link."""
     x, y = m.alias("x"), m.alias("y")
     on = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.b") < F.col("y.b"))
     on &= may_link(F.col("x.nb"), F.col("x.par"), F.col("y.nb"), F.col("y.par"), percent)
