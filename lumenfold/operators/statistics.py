@@ -20,6 +20,23 @@ def midranks(df: DataFrame, test: str, value: str, *groups: str) -> DataFrame:
     return c.withColumn("midrank", F.coalesce(F.sum("n").over(upto), F.lit(0)) + (F.col("n") + 1) / 2)
 
 
+def placed(df: DataFrame, by: Column, key: str, parts: int = 64) -> DataFrame:
+    """df in the falling order of by, nulls last, then of key, with place: 1 for the first row.
+
+    Ranges of by are ranked side by side and their counts summed, so no task has all rows. The bounds are
+    read from df first; places do not depend on them.
+    """
+    r = df.withColumn("__by", by.cast("double"))
+    cuts = r.agg(F.percentile_approx("__by", [i / parts for i in range(1, parts)]).alias("c")).first().c or []
+    part = F.when(F.col("__by").isNull(), -1).otherwise(sum([(F.col("__by") > c).cast("int") for c in sorted(set(cuts))], F.lit(0)))
+    r = r.withColumn("__part", part)
+    above = Window.partitionBy(F.lit(0)).orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    before = r.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(above), F.lit(0)).alias("__before"))
+    here = F.row_number().over(Window.partitionBy("__part").orderBy(F.col("__by").desc_nulls_last(), key))
+    out = r.withColumn("__here", here).join(F.broadcast(before), "__part")
+    return out.withColumn("place", (F.col("__before") + F.col("__here")).cast("long")).orderBy("place").drop("__by", "__part", "__here", "__before")
+
+
 def auc_mann_whitney(df: DataFrame, test: str, value: str, positive: str) -> DataFrame:
     """By test: n1, n0, auc and the tie-corrected normal p; auc is null with one class, p below two rows a class."""
     r = midranks(df, test, value, positive)

@@ -180,6 +180,11 @@ def srt_abs_dev(t):
     return t("part").select("p_partkey", "p_retailprice").orderBy(F.abs(F.col("p_retailprice") - 1000).desc(), "p_partkey").limit(10)
 
 
+@query("select p_partkey, p_retailprice, row_number() over (order by abs(p_retailprice - 1000) desc nulls last, p_partkey) as place from part")
+def srt_abs_dev_all(t):
+    return S.placed(t("part").select("p_partkey", "p_retailprice"), F.abs(F.col("p_retailprice") - 1000), "p_partkey")
+
+
 @query("select name, min(k) as origin from (select lower(n_name) as name, 1 as k from nation union all select lower(r_name), 2 from region) group by name")
 def set_union_dedup(t):
     u = t("nation").select(F.lower("n_name").alias("name"), F.lit(1).alias("k")).unionByName(t("region").select(F.lower("r_name").alias("name"), F.lit(2).alias("k")))

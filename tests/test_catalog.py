@@ -84,3 +84,16 @@ def test_stream_appends_once(spark, tmp_path):
     assert done.count() == 5 and resume(spark.range(7), done, ["id"]).count() == 2
     step = lambda f: f.where("id < 6").selectExpr("id + 2 as id")
     assert sorted(r.id for r in snowball(spark.range(1), step, "id", lambda d: d.checkpoint()).collect()) == [0, 2, 4, 6]
+
+
+def test_order_keeps_every_row(spark):
+    from pyspark.sql import functions as F
+
+    from lumenfold.operators.statistics import placed
+
+    rows = [(i, None if i % 50 == 49 else float(i * 37 % 23)) for i in range(200)]
+    got = placed(spark.createDataFrame(rows, "id long, v double"), F.abs(F.col("v") - 11), "id", parts=8).collect()
+    want = sorted(rows, key=lambda r: (r[1] is None, -abs((r[1] or 0) - 11), r[0]))
+    assert [(r.id, r.place) for r in got] == [(i, k + 1) for k, (i, _) in enumerate(want)]
+    assert not placed(spark.createDataFrame([], "id long, v double"), F.col("v"), "id").collect()
+    assert catalog.QUERIES["srt_abs_dev_all"](spark, SF).count() == spark.read.parquet(f"{SF}/part.parquet").count()
