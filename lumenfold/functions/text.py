@@ -13,6 +13,15 @@ def normalise(c) -> Column:
     return F.translate(F.coalesce(col(c), F.lit("")), "‘’“”", "''\"\"")
 
 
+#: What Python's str.strip takes off.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
+def stripped(c) -> Column:
+    """The text without white space at its ends, null as ''."""
+    return F.btrim(F.coalesce(col(c), F.lit("")), F.lit(SPACES))
+
+
 def strip_tags_mentions(c) -> Column:
     return F.regexp_replace(F.regexp_replace(col(c), r"#[\p{L}\p{N}_]+", " "), r"@[\p{L}\p{N}_.]+", " ")
 

@@ -74,6 +74,14 @@ def render_prompt(t):
     return t("conversations").select("conv_id", "turn", F.concat_ws(" ", F.concat(F.lit("TURN "), F.col("turn").cast("string")), F.concat(F.lit("BY "), "role"), body).alias("prompt"))
 
 
+@query(f"""with c as (select conv_id, turn, role, trim(coalesce(text, ''), '{X.SPACES}') as body from conversations)
+select conv_id, turn, 'TURN ' || turn || case when role is not null then ' BY ' || role else '' end || case when body <> '' then ' TEXT ' || body else ' (none)' end as prompt from c""")
+def render_prompt_whole(t):
+    text = X.stripped("text")
+    body = F.when(text != "", F.concat(F.lit("TEXT "), text)).otherwise("(none)")
+    return t("conversations").select("conv_id", "turn", F.concat_ws(" ", F.concat(F.lit("TURN "), F.col("turn").cast("string")), F.concat(F.lit("BY "), "role"), body).alias("prompt"))
+
+
 # flattening: profiles that hold their posts, and back to rows
 
 

@@ -97,3 +97,11 @@ def test_order_keeps_every_row(spark):
     assert [(r.id, r.place) for r in got] == [(i, k + 1) for k, (i, _) in enumerate(want)]
     assert not placed(spark.createDataFrame([], "id long, v double"), F.col("v"), "id").collect()
     assert catalog.QUERIES["srt_abs_dev_all"](spark, SF).count() == spark.read.parquet(f"{SF}/part.parquet").count()
+
+
+def test_prompt_has_the_whole_text(spark, tmp_path):
+    long = "word " * 2000 + "end"
+    rows = [(1, 0, "user", f" \u3000\x1c{long}\n\t"), (1, 1, None, " \n"), (1, 2, "bot", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = catalog.QUERIES["render_prompt_whole"](spark, str(tmp_path)).collect()
+    assert {r.turn: r.prompt for r in got} == {0: f"TURN 0 BY user TEXT {long}", 1: "TURN 1 (none)", 2: "TURN 2 BY bot (none)"}
