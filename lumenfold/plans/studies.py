@@ -164,6 +164,11 @@ def st_kappa_boot(t):
     return S.kappa_boot(t("labels"), "quality", "toxic", replicates=50, seed="k").select(r6("lo").alias("lo"), r6("hi").alias("hi"), "replicates")
 
 
+@query(ORACLES["st_kappa_boot"].replace("range(0, 50)", "range(0, 2000)"))
+def st_kappa_boot_2000(t):
+    return S.kappa_boot(t("labels"), "quality", "toxic", replicates=2000, seed="k").select(r6("lo").alias("lo"), r6("hi").alias("hi"), "replicates")
+
+
 # matching and modelling
 
 

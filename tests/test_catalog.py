@@ -105,3 +105,21 @@ def test_prompt_has_the_whole_text(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = catalog.QUERIES["render_prompt_whole"](spark, str(tmp_path)).collect()
     assert {r.turn: r.prompt for r in got} == {0: f"TURN 0 BY user TEXT {long}", 1: "TURN 1 (none)", 2: "TURN 2 BY bot (none)"}
+
+
+def test_kappa_interval_rests_on_all_replicates(spark, tmp_path):
+    import hashlib
+
+    import numpy as np
+
+    rows = [(i, int(i % 3 == 0), int(i % 3 == 0) ^ int(i % 5 == 0)) for i in range(24)]
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = catalog.QUERIES["st_kappa_boot_2000"](spark, str(tmp_path)).first()
+    cells, ks = sorted((q, x) for _, q, x in rows), []
+    for b in range(2000):
+        drawn = np.array([cells[int(hashlib.md5(f"k:{b}:{i}".encode()).hexdigest()[:12], 16) % 24] for i in range(24)])
+        p, (pa, pb) = (drawn[:, 0] == drawn[:, 1]).mean(), drawn.mean(0)
+        chance = pa * pb + (1 - pa) * (1 - pb)
+        ks += [(p - chance) / (1 - chance)] if chance < 1 else []
+    assert got.replicates == len(ks) > 1900
+    assert np.allclose([got.lo, got.hi], np.percentile(ks, [2.5, 97.5]), atol=1e-6)
