@@ -199,6 +199,11 @@ def an_blind_export(t):
     return A.blind_key(t("documents").where("text is not null"), "source", "doc_id", cap=5)
 
 
+@query(ORACLES["an_blind_export"].replace("k <= 5", "k <= 20"))
+def an_blind_export_20(t):
+    return A.blind_key(t("documents").where("text is not null"), "source", "doc_id", cap=20)
+
+
 @query("select doc_id, case when quality = toxic then quality end::bigint as consensus, greatest(quality, toxic)::bigint as either, quality <> toxic as disputed from labels")
 def an_consensus(t):
     return t("labels").select("doc_id", A.consensus("quality", "toxic").cast("long").alias("consensus"), F.greatest("quality", "toxic").cast("long").alias("either"), (F.col("quality") != F.col("toxic")).alias("disputed"))

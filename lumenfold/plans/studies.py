@@ -188,7 +188,7 @@ def mt_greedy(t):
 @query(None)
 def ml_cv_auc(t):
     f = E.account_features(t("events")).select("user_id", "rate", "night", "weekend", "view_share", "mean_value", (F.col("user_id") % 2).alias("y"))
-    return L.cv_auc(f, "user_id", "y", ["rate", "night", "weekend", "view_share", "mean_value"], folds=5, repeats=4)
+    return L.cv_auc(f, "user_id", "y", ["rate", "night", "weekend", "view_share", "mean_value"], folds=5, repeats=20)
 
 
 @query("select auc, case when auc <= 0.6 then 'same' when auc <= 0.7 then 'weak' else 'different' end as verdict from (select round(k / 10.0::double, 6) as auc from (select unnest(range(5, 10)) as k))")

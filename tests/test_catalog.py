@@ -123,3 +123,17 @@ def test_kappa_interval_rests_on_all_replicates(spark, tmp_path):
         ks += [(p - chance) / (1 - chance)] if chance < 1 else []
     assert got.replicates == len(ks) > 1900
     assert np.allclose([got.lo, got.hi], np.percentile(ks, [2.5, 97.5]), atol=1e-6)
+
+
+def test_cross_validation_has_all_repeats(spark):
+    got = catalog.QUERIES["ml_cv_auc"](spark, SF).first()
+    assert got.repeats == 20 and 0 <= got.mean_auc <= 1 and got.sd_auc > 0
+
+
+def test_blind_export_takes_twenty_a_group(spark, tmp_path):
+    rows = [(i, "big" if i < 50 else "small", "x") for i in range(60)] + [(60, "small", None)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.QUERIES["an_blind_export_20"](spark, str(tmp_path)).collect()
+    codes = {s: sorted(r.code for r in got if r.source == s) for s in ("big", "small")}
+    assert codes == {"big": list(range(1, 21)), "small": list(range(1, 11))}
+    assert len({r.doc_id for r in got}) == len(got) and 60 not in {r.doc_id for r in got}
