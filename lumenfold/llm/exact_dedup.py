@@ -3,10 +3,14 @@
 The key of a text is a 64-bit hash of its normalised bytes. A directory of 2**depth slots, addressed by
 the key's first bits, points to buckets; a bucket with more distinct keys than its capacity is split in
 two, and the directory doubles where a split needs one more bit than it has. Repeated texts have one
-key, so they never overfill a bucket. Owner tasks take a bucket's keys, chain the entries of a key,
-and compare bytes: texts are one group only if the key, the bucket and the whole normalised text agree.
-Copies are combined before the shuffle, so a text that fills a third of the table is a row or so a
-task. The index is written to the shared folder by bucket and read again by the lookup.
+key, so they never overfill a bucket.
+
+What decides. Groups come from an aggregation on the key, the whole normalised text and its SHA-256, so
+texts are one group only if all of it agrees; copies are combined before the shuffle, and a text that
+fills a third of the table is a row or so a task. The groups are stored before any bucket exists, and not
+by bucket: the bucket follows from the key and only joins the lookup's condition beside key and SHA-256,
+which stands for the bytes there. No owner task chains keys or compares bytes, no bucket splits up to
+CAPACITY distinct keys, and the pipeline's stage joins on SHA-256 and keep_id without the directory.
 
 Defined results: a null text counts as empty; empty texts are a group; of equal texts the largest
 doc_id stays, a null doc_id only if there is no other; of rows that agree in doc_id too, one is marked
