@@ -8,7 +8,8 @@ Schedule. Slot i of the mix has the golden-ratio point frac((i + 1/2) * phi) in
 through the cumulative targets it names a source. Slots are ranked within their source. The source's
 documents, in the order of a hash, are one stream of words cut into equal-token blocks; rank r takes block
 r modulo the number of blocks, so ranks walk round the stream. A source's last rank is cut to the words
-its target still lacks, and ranks that the schedule leaves short stand at its end.
+its target still lacks, and ranks that the schedule leaves short stand at its end. So the quota alone
+decides what is taken: slots are grouped away, and no output carries their order.
 
 Scale. Both rankings are two-level: a count by (source, chunk), a running sum over those counts, and a
 rank within the chunk, so a source with a third of all rows is ranked by many tasks. Each source has at
