@@ -10,7 +10,8 @@ Whole texts are labelled: blocks of words are contracted to transfer matrices, w
 long text costs a few array operations a block and none is cut.
 
 Training rows are a bounded sample, documented here: at most SAMPLE rows a label, chosen by a hash of the
-id, and EXCERPT words of each. Prediction reads texts alone.
+id, and EXCERPT words of each; of a word's byte n-grams, training has those of its first 24 bytes, some 8
+characters of an unspaced script, and prediction has all. Prediction reads texts alone.
 
 Defined results: null, empty or letterless text is `und` with score 0; so is every text if no row is
 labelled; one label only gives that label with score 1; rows that repeat get the same result.
