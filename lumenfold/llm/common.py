@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import functools
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that a Python worker handles at a time; a longer text is a batch of its own.
 BATCH_BYTES = 1 << 20
@@ -22,19 +24,60 @@ _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that driver and executors share (spark.checkpoint.dir)."""
+    """A new path below the folder that driver and executors share (spark.checkpoint.dir).
+
+    Where the setting is missing, a session whose driver and executors are one process gets a folder of its
+    own; on a cluster that is an error, for no folder of one machine is shared. The path goes when the session ends.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = found.get() if found.isDefined() else "/tmp/lumenfold-shared"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        root = found.get() if found.isDefined() else None
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="lumenfold-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    where, files = _files(spark, path)
+    files.deleteOnExit(where)
+    return path
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: the lineage ends there, for every later reader."""
     path = shared_dir(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more: what came of them is stored itself."""
+    for df in tables:
+        where, files = _files(df.sparkSession, df._stored_at)
+        files.delete(where, True)
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """One column `row`, a struct of df's columns: helpers beside it cannot clash with them."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def unpacked(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of like out of `row`."""
+    return df.select(*[F.col("row").getField(c).alias(c) for c in like.columns])
+
+
+def tie_order() -> list[Column]:
+    """An order of rows of one key by all that they hold, the same in every run; what ties is alike."""
+    return [F.md5(F.to_json(F.col("row")))]
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -55,12 +98,13 @@ def batches(texts: pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[int, li
         yield at, run
 
 
-def map_texts(df: DataFrame, columns: list[str], fn: Callable, schema: str, text: str = "text") -> DataFrame:
+def map_texts(df: DataFrame, columns: list[str], fn: Callable, schema: str | StructType, text: str = "text") -> DataFrame:
     """fn(carried columns as an Arrow table, texts as bytes) -> Arrow table or dict, batch by batch.
 
     Only the named columns and the text reach Python, so clashing extra columns do no harm.
     """
-    picked = df.select(*[F.col(c) for c in columns], F.col(text).alias("__text"))
+    # the text comes last and is taken by place, so its name may be any
+    picked = df.select(*[F.col(c) for c in columns], F.col(text).alias("_text"))
 
     def run(it):
         for batch in it:
