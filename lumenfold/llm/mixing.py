@@ -6,15 +6,18 @@ closed by one ordered scan over the sources).
 
 Schedule. Slot i of the mix has the golden-ratio point frac((i + 1/2) * phi) in 64-bit fixed point; mapped
 through the cumulative targets it names a source. Slots are ranked within their source. The source's
-documents, in the order of a hash, are one stream of words cut into equal-token blocks; rank r takes block
-r modulo the number of blocks, so ranks walk round the stream. A source's last rank is cut to the words
-its target still lacks, and ranks that the schedule leaves short stand at its end. So the quota alone
-decides what is taken: slots are grouped away, and no output carries their order.
+documents, in the order of a hash, are one shuffled stream of words cut into equal-token blocks; rank r is
+joined to block r modulo the number of blocks, so ranks walk round the stream and each word taken has the
+slot in which it is taken. A source's last rank is cut to the words its target still lacks; ranks that the
+schedule leaves short follow after its last slot, as slots SLOTS, SLOTS + 1 and so on, and ranks beyond the
+need are empty. So the quota says how much is taken and the schedule where in the mix it stands: first_slot
+and last_slot of a document, and the order in which the pipeline's stage writes its rows.
 
 Scale. Both rankings are two-level: a count by (source, chunk), a running sum over those counts, and a
-rank within the chunk, so a source with a third of all rows is ranked by many tasks. Each source has at
-most SLOTS slots and blocks of as many words as that takes: the number of (source, block) rows is bounded
-by the number of sources, and a document meets only the blocks that it overlaps.
+rank within the chunk, so a source with a third of all rows is ranked by many tasks; chunks are CHUNK_ROWS
+rows or so, and MOST_CHUNKS at most. Each source has at most SLOTS slots and blocks of as many words as that
+takes: the number of (source, block) rows is bounded by the number of sources, and a document meets only the
+blocks that it overlaps. What has one row a source is one task's work.
 
 Defined results: a null or empty text has size 0 and is not taken; a source without words has target 0;
 no documents give no rows; rows that repeat are rows of their own; extra columns are not read.
@@ -27,12 +30,16 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import documents, packed, stored, tie_order, unpacked
 
 #: Slots of the whole mix, at least one for each source's share.
 SLOTS = 1 << 16
 #: Rows that one ranking task sorts, about.
 CHUNK_ROWS = 1 << 12
+#: Chunks of the whole table at most: their counts are summed source by source.
+MOST_CHUNKS = 1 << 16
+#: Words that a task of the written mix has, about.
+PART_WORDS = 1 << 21
 MAX_REPEAT = 3
 #: The golden ratio's fraction in 62-bit fixed point.
 PHI62 = (math.isqrt(5 << 124) - (1 << 62)) >> 1
@@ -91,23 +98,26 @@ def ranked(rows: DataFrame, chunk, order: list, size: str | None) -> DataFrame:
 
 
 def plan(goal: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(sid, block, from, until, times): words [from, until) of the source's stream are taken so often."""
+    """(sid, block, from, until, slot): words [from, until) of the source's stream are taken in this slot."""
     rank = schedule(goal, slots)
     quota = goal.where("quota > 0").select("sid", "source_size", "quota", "block_words", F.ceil(F.col("source_size") / F.col("block_words")).alias("blocks"))
     # words before rank r: whole rounds of the stream and the blocks of the last one
     start = lambda r: F.floor(r / F.col("blocks")) * F.col("source_size") + F.least((r % F.col("blocks")) * F.col("block_words"), F.col("source_size"))
     last = quota.select("*", (F.floor(F.col("quota") / F.col("source_size")) * F.col("blocks") + F.ceil((F.col("quota") % F.col("source_size")) / F.col("block_words"))).alias("needed"))
     given = rank.groupBy("sid").agg(F.count("*").alias("given"))
-    short = last.join(given, "sid", "left").where("coalesce(given, 0) < needed").select("sid", F.explode(F.sequence(F.coalesce("given", F.lit(0)), F.col("needed") - 1)).alias("rank"))
-    taken = rank.select("sid", "rank").unionByName(short).join(last, "sid").where(F.col("rank") < F.col("needed"))
+    lack = last.join(given, "sid", "left").withColumn("given", F.coalesce("given", F.lit(0).cast("long"))).where("given < needed")
+    short = lack.select("sid", "given", F.explode(F.sequence(F.col("given"), F.col("needed") - 1)).alias("rank")).select("sid", "rank", (F.col("rank") - F.col("given") + slots).alias("slot"))
+    taken = rank.select("sid", "rank", "slot").unionByName(short).join(last, "sid").where(F.col("rank") < F.col("needed"))
     words = F.least(start(F.col("rank") + 1), F.col("quota")) - start(F.col("rank"))
     block = F.col("rank") % F.col("blocks")
-    taken = taken.select("sid", block.alias("block"), (block * F.col("block_words")).alias("from"), (block * F.col("block_words") + words).alias("until"))
-    return taken.groupBy("sid", "block", "from", "until").agg(F.count("*").alias("times"))
+    return taken.select("sid", block.alias("block"), (block * F.col("block_words")).alias("from"), (block * F.col("block_words") + words).alias("until"), "slot")
 
 
 def mix(df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", slots: int = SLOTS, max_repeat: int = MAX_REPEAT, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """(doc_id, tp, uid, source, size, source_size, target, taken) of each row of df."""
+    """(doc_id, tp, uid, source, size, source_size, target, taken, first_slot, last_slot, place, starts) of each row of df.
+
+    place is the document's first word in its source's stream; starts are the slots that take that word, in order.
+    """
     docs = stored(sized(df, text, key, source), "mix-sizes")
     goal = targets(docs, max_repeat)
     goal = goal.withColumn("sid", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())))
@@ -117,41 +127,56 @@ def mix(df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "s
     goal = goal.withColumn("quota", F.least(F.floor("target"), max_repeat * F.col("source_size")))
     goal = goal.withColumn("block_words", F.greatest(F.ceil(F.sum("target").over(one) / slots), F.lit(1)).cast("long"))
     goal = stored(goal, "mix-goal")
-    chunks = max(1, docs.count() // chunk_rows)
+    chunks = min(max(1, docs.count() // chunk_rows), MOST_CHUNKS)
     # chunks by range of the hash that orders the documents
     order = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")))
     placed = docs.where("size > 0").join(goal.select("source", "sid", "block_words", "quota"), docs["source"].eqNullSafe(goal["source"])).drop(goal["source"]).withColumn("order", order)
     chunk = F.floor(F.conv(F.substring("order", 1, 7), 16, 10).cast("long") * chunks / (1 << 28))
     placed = ranked(placed.select("doc_id", "uid", "sid", "size", "block_words", "order"), chunk, ["order", "uid"], "size")
-    spans = placed.select("uid", "sid", "size", "place", F.explode(F.sequence(F.floor(F.col("place") / F.col("block_words")), F.floor((F.col("place") + F.col("size") - 1) / F.col("block_words")))).alias("block"))
-    words = F.greatest(F.lit(0), F.least(F.col("place") + F.col("size"), F.col("until")) - F.greatest("place", "from")) * F.col("times")
-    taken = spans.join(plan(goal, slots), ["sid", "block"]).groupBy("uid").agg(F.sum(words).alias("taken"))
+    first = F.floor(F.col("place") / F.col("block_words"))
+    spans = placed.select("uid", "sid", "size", "place", first.alias("first"), F.explode(F.sequence(first, F.floor((F.col("place") + F.col("size") - 1) / F.col("block_words")))).alias("block"))
+    met = spans.join(plan(goal, slots), ["sid", "block"]).withColumn("words", F.least(F.col("place") + F.col("size"), F.col("until")) - F.greatest("place", "from")).where("words > 0")
+    begins = F.when((F.col("block") == F.col("first")) & (F.col("until") > F.col("place")), F.col("slot"))
+    # the stream is walked max_repeat times at most, so a list has no more slots than that
+    taken = met.groupBy("uid").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.min("place").alias("place"), F.array_sort(F.collect_list(begins)).alias("starts"))
     out = docs.join(goal.select("source", "source_size", "target"), docs["source"].eqNullSafe(goal["source"])).drop(goal["source"]).join(taken, "uid", "left")
-    return out.select("doc_id", "tp", "uid", "source", "size", "source_size", "target", F.coalesce(F.col("taken"), F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "tp", "uid", "source", "size", "source_size", "target", F.coalesce(F.col("taken"), F.lit(0)).cast("long").alias("taken"), "first_slot", "last_slot", "place", "starts")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir)).drop("tp", "uid", "source")
+    return mix(documents(spark, sf_dir)).drop("tp", "uid", "source", "place", "starts")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as often as the mix takes it.
+    """Pipeline stage: each document as often as the mix takes it, written in the order of the schedule's slots.
 
-    A source's stream ends within one document at most, which stays if half of its words are taken.
+    A source's stream ends within one document at most, which stays if half of its words are taken. Of rows
+    that agree in doc_id, source and text the first by all its columns stands for all.
     """
-    plan_ = mix(docs).withColumn("often", F.floor((F.col("taken") + F.floor(F.col("size") / 2)) / F.greatest("size", F.lit(1))).cast("int"))
-    # rows that repeat have one key; the first of them carries what all of them are taken
-    often = plan_.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("tp").alias("__tp")).agg(F.sum("often").cast("int").alias("__often")).where("__often > 0")
-    keyed = docs.withColumn("__fp", F.xxhash64("text"))
-    rows = keyed.join(often, keyed["doc_id"].eqNullSafe(F.col("__id")) & keyed["source"].eqNullSafe(F.col("__source")) & (F.col("__fp") == F.col("__tp")))
-    rank = F.row_number().over(Window.partitionBy("doc_id", "source", "__fp").orderBy(F.lit(0)))
-    rows = rows.withColumn("__rank", rank).where("__rank = 1")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__often")))).select(*docs.columns)
+    planned = stored(mix(docs), "mix-plan")
+    often = F.floor((F.col("taken") + F.floor(F.col("size") / 2)) / F.greatest("size", F.lit(1))).cast("int")
+    copies = planned.withColumn("often", often).where("often > 0").select("doc_id", "source", "tp", "place", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("often") - 1), lambda i: F.coalesce(F.get("starts", i), F.col("last_slot")))).alias("nth", "slot"))
+    named = copies.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("tp").alias("t"), "place", "slot")
+    row = F.col("row")
+    rows = packed(docs).withColumn("fp", F.xxhash64(row["text"]))
+    of = [row["doc_id"].alias("d"), row["source"].alias("s"), F.col("fp").alias("t")]
+    again = stored(planned.groupBy(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("tp").alias("t")).agg(F.count("*").alias("k")).where("k > 1"), "mix-again")
+    if not again.isEmpty():
+        same = row["doc_id"].eqNullSafe(again["d"]) & row["source"].eqNullSafe(again["s"]) & (F.col("fp") == again["t"])
+        rank = F.row_number().over(Window.partitionBy(row["doc_id"], row["source"], "fp").orderBy(*tie_order()))
+        rows = rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").withColumn("rank", rank).where("rank = 1").drop("rank"))
+    on = row["doc_id"].eqNullSafe(named["d"]) & row["source"].eqNullSafe(named["s"]) & (F.col("fp") == named["t"])
+    out = rows.join(named, on).select("row", "slot", "place")
+    total = planned.agg(F.sum("taken")).first()[0] or 0
+    parts = min(max(1, -(-total // PART_WORDS)), SLOTS)
+    part = F.least(F.floor(F.col("slot") * parts / SLOTS), F.lit(parts - 1)).cast("int")
+    out = out.withColumn("part", part).repartitionById(parts, "part").sortWithinPartitions("slot", "place")
+    return unpacked(out, docs)
 
 
 QUERIES = {"op8_mixing": op8_mixing}
 ORACLES: dict[str, str] = {
-    "op8_mixing": r"""
+    "op8_mixing": rf"""
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents),
 s as (select source, sum(size) as source_size, 3 * sum(size) as cap from d group by source),
 w as (select *, (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight, sum(source_size) over () as total from s),
@@ -161,8 +186,21 @@ g as (select source, source_size, cap, weight, max(case when level * weight <= c
 t as (select source, source_size, least(coalesce(level * weight, cap::double), cap::double) as target from g),
 p as (select d.*, t.source_size, t.target, floor(t.target)::bigint as quota,
   coalesce(sum(size) over (partition by d.source order by md5(doc_id::varchar || ':' || size::varchar), doc_id rows between unbounded preceding and 1 preceding), 0) as place
-  from d join t on d.source is not distinct from t.source)
-select doc_id, size::bigint as size, source_size::bigint as source_size, target,
-  case when size = 0 then 0 else (quota // source_size::bigint) * size + greatest(0, least(place + size, quota % source_size::bigint) - place) end::bigint as taken
-from p"""
+  from d join t on d.source is not distinct from t.source),
+h as (select source, source_size::bigint as source_size, floor(target)::bigint as quota, row_number() over (order by source nulls last) as sid,
+  trunc(least(1.0, sum(target) over (order by source nulls last) / nullif(sum(target) over (), 0)) * {float(1 << 62)!r}::double)::bigint as hi,
+  greatest(1, ceil(sum(target) over () / {SLOTS}))::bigint as bw from t),
+b as (select *, coalesce(lag(hi) over (order by sid), 0) as lo, (source_size + bw - 1) // bw as blocks from h),
+q as (select *, quota // source_size * blocks + (quota % source_size + bw - 1) // bw as needed from b where quota > 0),
+i as (select i as slot, ((2 * i + 1)::hugeint * {PHI62 // 2}::hugeint % {1 << 62}::hugeint)::bigint as point from range({SLOTS}) x(i)),
+k as (select sid, slot, row_number() over (partition by sid order by slot) - 1 as r from i join b on point >= lo and point < hi),
+n as (select sid, count(*) as given from k group by sid),
+e as (select sid, slot, r from k union all select sid, {SLOTS} + r - coalesce(given, 0), r from (select q.sid, given, unnest(range(coalesce(given, 0), needed)) as r from q left join n using (sid))),
+v as (select source, slot, r % blocks * bw as a, r % blocks * bw + least((r + 1) // blocks * source_size + least((r + 1) % blocks * bw, source_size), quota)
+  - (r // blocks * source_size + least(r % blocks * bw, source_size)) as z from e join q using (sid) where r < needed),
+m as (select p.doc_id, p.source, place, min(slot) as first_slot, max(slot) as last_slot from p join v on p.source is not distinct from v.source and a < place + size and z > place where size > 0 group by all)
+select p.doc_id, size::bigint as size, source_size::bigint as source_size, target,
+  case when size = 0 then 0 else (quota // source_size::bigint) * size + greatest(0, least(p.place + size, quota % source_size::bigint) - p.place) end::bigint as taken,
+  first_slot::bigint as first_slot, last_slot::bigint as last_slot
+from p left join m on size > 0 and p.doc_id is not distinct from m.doc_id and p.source is not distinct from m.source and p.place = m.place"""
 }
