@@ -9,9 +9,10 @@ posteriors by forward-backward over the whole text; the text's label has the lar
 Whole texts are labelled: blocks of words are contracted to transfer matrices, which chain exactly, so a
 long text costs a few array operations a block and none is cut.
 
-Training rows are a bounded sample, documented here: at most SAMPLE rows a label, chosen by a hash of the
-id, and EXCERPT words of each; of a word's byte n-grams, training has those of its first 24 bytes, some 8
-characters of an unspaced script, and prediction has all. Prediction reads texts alone.
+Training rows are a bounded sample, documented here: about SAMPLE rows a label, chosen by a hash of the id,
+with their whole texts; the driver holds them, SAMPLE rows a label whatever the table's size. A sequence is
+runs of words drawn from anywhere in those texts, and a word has all its features in training as in
+prediction. Prediction reads texts alone.
 
 Defined results: null, empty or letterless text is `und` with score 0; so is every text if no row is
 labelled; one label only gives that label with score 1; rows that repeat get the same result.
@@ -24,11 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import Words, documents, map_texts, mix
+from .common import Words, documents, map_texts, mix, packed, unpacked
 
-#: Labelled rows that training reads of each label, and consecutive words of each.
-SAMPLE, EXCERPT = 600, 120
+#: Labelled rows that training reads of each label, whole.
+SAMPLE = 300
 #: Spliced training sequences, their words, the shortest and longest run, and passes over them.
 SEQUENCES, LENGTH, RUN, EPOCHS = 3000, 48, (4, 24), 4
 BITS = 16
@@ -68,6 +70,19 @@ def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return out, np.stack((place(two, 9), place(two + b[:n] * np.uint64(65536), 10)), 1)
 
 
+def gathered(w: Words, words: np.ndarray, by_byte: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all features of some words, word by word, and where each word's begin."""
+    fixed, size = words.shape[1], w.end[which] - w.start[which]
+    lead = np.concatenate(([0], np.cumsum(fixed + 2 * size)))
+    flat = np.empty(int(lead[-1]), np.int64)
+    at = lead[:-1, None] + np.arange(fixed)
+    flat[at.ravel()] = words[which].ravel()
+    inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    byte, put = np.repeat(w.start[which], size) + inner, np.repeat(lead[:-1] + fixed, size) + 2 * inner
+    flat[put], flat[put + 1] = by_byte[byte, 0], by_byte[byte, 1]
+    return flat, lead
+
+
 def _byte_runs(w: Words) -> np.ndarray:
     return np.stack((w.start, w.end), 1).ravel()
 
@@ -155,24 +170,14 @@ def chain(emit: np.ndarray, first: np.ndarray, count: np.ndarray, step: np.ndarr
     return out
 
 
-def sample(df: DataFrame, bound: int = SAMPLE, excerpt: int = EXCERPT) -> list[tuple[str, bytes]]:
-    """At most about bound labelled rows a label that are not held out, and an excerpt of each."""
+def sample(df: DataFrame, bound: int = SAMPLE) -> list[tuple[str, bytes]]:
+    """About bound labelled rows a label that are not held out, or all if there are fewer: (label, whole text)."""
     known = df.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    hashed = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(_SEED)), F.lit(1 << 40))
-    rows = known.select("lang").groupBy("lang").count()
-    share = rows.withColumn("below", F.col("count") * 0 + (F.lit(float(bound)) / F.col("count") * (1 << 40)).cast("long")).select("lang", "below")
-    picked = known.withColumn("hashed", hashed).join(F.broadcast(share), "lang").where("hashed < below")
-
-    def cut(kept: pa.Table, texts: list[bytes]) -> pa.Table:
-        out = []
-        for i, t in enumerate(texts):
-            words = t.split()
-            at = int(kept["hashed"][i].as_py()) % max(1, len(words) - excerpt + 1)
-            out.append(b" ".join(words[at : at + excerpt]))
-        return kept.append_column("part", pa.array(out, pa.binary()))
-
-    got = map_texts(picked, ["lang", "hashed"], cut, "lang string, hashed bigint, part binary").collect()
-    return sorted((r["lang"], bytes(r["part"])) for r in got if any(c.isalpha() for c in bytes(r["part"]).decode("utf-8", "replace")))
+    hashed = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), F.lit(_SEED)), F.lit(1 << 40))
+    rows = known.groupBy("lang").agg(F.count("*").alias("n"))
+    share = rows.select("lang", (F.lit(float(bound)) / F.col("n") * (1 << 40)).cast("long").alias("below"))
+    got = known.withColumn("hashed", hashed).join(F.broadcast(share), "lang").where("hashed < below").select("lang", "text").collect()
+    return sorted((r["lang"], r["text"].encode()) for r in got if any(map(str.isalpha, r["text"])))
 
 
 def fit(rows: list[tuple[str, bytes]], sequences: int = SEQUENCES, epochs: int = EPOCHS, seed: int = _SEED) -> Model:
@@ -184,16 +189,9 @@ def fit(rows: list[tuple[str, bytes]], sequences: int = SEQUENCES, epochs: int =
         return Model(labels, weights, steps)
     w = Words([t for _, t in rows])
     words, by_byte = features(w)
-    spans = (w.end - w.start).clip(max=24)
-    width = words.shape[1] + 2 * int(spans.max())
-    table = np.zeros((len(words) + 1, width), np.int32)
-    table[:-1, : words.shape[1]] = words
-    for j in range(int(spans.max())):
-        live = np.flatnonzero(spans > j)
-        table[live, words.shape[1] + 2 * j : words.shape[1] + 2 * j + 2] = by_byte[w.start[live] + j]
     label_of = np.array([labels.index(name) for name, _ in rows])
     pools = [np.flatnonzero((label_of == i) & (w.count > 0)) for i in range(k)]
-    x, y = np.full((sequences, LENGTH), len(words)), np.zeros((sequences, LENGTH), np.int64)
+    x, y = np.zeros((sequences, LENGTH), np.int64), np.zeros((sequences, LENGTH), np.int64)
     for s in range(sequences):
         at = 0
         while at < LENGTH:
@@ -207,8 +205,8 @@ def fit(rows: list[tuple[str, bytes]], sequences: int = SEQUENCES, epochs: int =
     one = np.eye(k)
     for _ in range(epochs):
         for at in range(0, sequences - batch + 1, batch):
-            feats = table[x[at : at + batch].ravel()]
-            emit = weights[feats].sum(1)
+            flat, lead = gathered(w, words, by_byte, x[at : at + batch].ravel())
+            emit = np.add.reduceat(weights[flat], lead[:-1])
             a = np.exp(steps)
             n = len(emit)
             first = np.arange(0, n, LENGTH)
@@ -231,8 +229,8 @@ def fit(rows: list[tuple[str, bytes]], sequences: int = SEQUENCES, epochs: int =
             seen = np.zeros((k, k))
             np.add.at(seen, (yy[:, :-1].ravel(), yy[:, 1:].ravel()), 1)
             gs = (seen - pair.sum((0, 1))) / n - 1e-4 * steps
-            flat, per = feats.ravel(), feats.shape[1]
-            gw = np.stack([np.bincount(flat, np.repeat(grad[:, i], per), 1 << BITS) for i in range(k)], 1) / batch - 1e-5 * weights
+            of = np.repeat(np.arange(n), np.diff(lead))
+            gw = np.stack([np.bincount(flat, grad[of, i], 1 << BITS) for i in range(k)], 1) / batch - 1e-5 * weights
             gw[0] = 0
             g2 += gw**2
             s2 += gs**2
@@ -247,7 +245,7 @@ def _has_letter(t: bytes) -> bool:
 
 def predict(df: DataFrame, model: Model, keep: list[str], text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns to keep of each row of df, and its label and score."""
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    kinds = StructType([*[df.schema[c] for c in keep], StructField(names[0], StringType()), StructField(names[1], DoubleType())])
 
     def run(kept: pa.Table, texts: list[bytes]) -> pa.Table:
         letters = np.array([_has_letter(t) for t in texts])
@@ -260,7 +258,7 @@ def predict(df: DataFrame, model: Model, keep: list[str], text: str = "text", na
         named = [model.labels[i] if ok else UNKNOWN for i, ok in zip(best, letters, strict=True)]
         return kept.append_column(names[0], pa.array(named, pa.string())).append_column(names[1], pa.array(np.where(letters, np.clip(score, 0, 1), 0.0)))
 
-    return map_texts(df, keep, run, f"{kinds}, {names[0]} string, {names[1]} double", text)
+    return map_texts(df, keep, run, kinds, text)
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,8 +269,9 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without a letter or without a likely language go."""
-    judged = predict(docs, fit(sample(docs)), docs.columns, names=("__lang", "__score"))
-    return judged.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= MIN_SCORE)).select(*docs.columns)
+    rows = packed(docs).withColumn("text", F.col("row")["text"])
+    judged = predict(rows, fit(sample(docs)), ["row"])
+    return unpacked(judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)), docs)
 
 
 QUERIES = {"op1_language": op1_language}
