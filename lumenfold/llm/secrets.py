@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns, and assignment-aware lexing of source and configuration syntax.
 
-The lexer takes every = or : (also := and =>) apart into a name before it and a value after it: a quoted
-literal, a bare word, or a sum of literals and names. Names bound to literals are constants of the text;
+The lexer takes every = or : (also := and =>) apart into a name before it, however long, and a value after
+it: a quoted literal, a bare word, or a sum of literals and names. Names bound to literals are constants of the text;
 a value that names a constant, also through further names, resolves to its literals. A literal is scored
 by the sensitive words of every name that it reaches and by its own length, variety and shape, and a
 score of THRESHOLD or more adds a span of kind `lexed` over the literal.
@@ -32,22 +32,18 @@ SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3,
 THRESHOLD = 5.0
 MIN_LITERAL = 8
 
-_NAME = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]{0,127})(?:["'\]]{0,2})[ \t]*$""")
-_OPERATOR = re.compile(r":=|=>|[=:]")
-_TERM = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z0-9_.+/=\-]+))""")
+#: A whole run of name characters, from its first letter on, closing quotes, and the operator after it.
+_TARGET = re.compile(r"""(?<![A-Za-z0-9_.\-])[0-9.\-]*+([A-Za-z_][A-Za-z0-9_.\-]*+)["'\]]{0,2}[ \t]*+(?::=|=>|[=:])""")
+_TERM = re.compile(r"""[ \t]*+(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|([A-Za-z0-9_.+/=\-]+))""")
 _PLUS = re.compile(r"[ \t]*(?:\+|\.\.|&)[ \t]*(?=[\"'A-Za-z_])")
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
-_NAME_BACK = 160
 
 
 def assignments(text: str) -> list[tuple[str, list[tuple[str, int, int, bool]]]]:
     """(name, terms) of each assignment; a term is (value, start, end, quoted)."""
     out = []
-    for op in _OPERATOR.finditer(text):
-        name = _NAME.search(text, max(0, op.start() - _NAME_BACK), op.start())
-        if not name:
-            continue
-        terms, at = [], op.end()
+    for name in _TARGET.finditer(text):
+        terms, at = [], name.end()
         while m := _TERM.match(text, at):
             kind = next(k for k in (1, 2, 3) if m[k] is not None)
             terms.append((m[kind], m.start(kind), m.end(kind), kind < 3))
