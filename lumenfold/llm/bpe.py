@@ -1,11 +1,11 @@
 """Byte-level BPE with the tiktoken library and a local rank file.
 
-A long text is cut before white space that follows an ASCII letter: the pattern ends a piece there
-whatever comes next, so the parts give the ids of the whole. Ids are decoded to raw bytes, never
-through replacement characters.
+A long text is cut before white space that follows a letter or digit of any script, and in scripts without
+spaces before the punctuation that follows a letter: the pattern ends a piece there whatever comes next, so
+the parts give the ids of the whole. Ids are decoded to raw bytes, never through replacement characters.
 
 Defined results: a null or empty text has no ids and decodes to nothing; a text without a safe
-boundary is encoded whole; rows and ids that repeat are encoded each; extra columns are not read.
+boundary (one run of letters, say, which is one match of the pattern) is encoded whole; rows and ids that repeat are encoded each; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -13,9 +13,9 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import re
 
 import pyarrow as pa
+import regex as re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +24,7 @@ from .common import documents, map_texts
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Characters after which a long text is cut at the next safe boundary.
 PART_CHARS = 1 << 16
-_SAFE = re.compile(r"(?<=[A-Za-z])(?=\s)")
+_SAFE = re.compile(r"(?<=[\p{L}\p{N}])(?=\s)|(?<=[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}])(?=[。、，．！？；：「」『』（）…])")
 
 
 @functools.lru_cache(maxsize=4)
