@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, documents, grams, map_texts, mix, runs, stored
+from .common import Words, documents, grams, map_texts, mix, packed, runs, stored, tie_order, unpacked
 
 SHINGLE, SIMILARITY = 3, 90
 #: Sizes of a band grow by this much, partitions exceed k + 1 by this much and by EXTRA.
@@ -297,19 +297,17 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component of five-word shingles at similarity 0.8 the smallest row stays."""
-    found = join(docs, 80, 5)
-    first = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tp", "uid")).alias("m")).select("m.doc_id", "m.tp")
-    return one_each(docs, first, "tp", F.xxhash64("text"))
-
+    """Pipeline stage: of each component of five-word shingles at similarity 0.8 the smallest row stays.
 
-def one_each(docs: DataFrame, chosen: DataFrame, print_: str, value: Column) -> DataFrame:
-    """docs' rows that chosen names by (doc_id, fingerprint), one where rows repeat."""
-    chosen = chosen.select(F.col("doc_id").alias("__id"), F.col(print_).alias("__print")).distinct()
-    keyed = docs.withColumn("__fp", value)
-    got = keyed.join(chosen, keyed["doc_id"].eqNullSafe(chosen["__id"]) & keyed["__fp"].eqNullSafe(chosen["__print"]))
-    rank = F.row_number().over(Window.partitionBy("__fp", "doc_id").orderBy(F.lit(0)))
-    return got.withColumn("__rank", rank).where("__rank = 1").select(*docs.columns)
+    The smallest by doc_id, nulls last, then by the text's hash; of rows that agree in both the first by all its columns.
+    """
+    found = join(docs, 80, 5)
+    first = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tp")).alias("m")).select(F.col("m.doc_id").alias("d"), F.col("m.tp").alias("t")).distinct()
+    row = F.col("row")
+    rows = packed(docs).withColumn("fp", F.xxhash64(row["text"]))
+    got = rows.join(first, row["doc_id"].eqNullSafe(F.col("d")) & (F.col("fp") == F.col("t")))
+    rank = F.row_number().over(Window.partitionBy("fp", row["doc_id"]).orderBy(*tie_order()))
+    return unpacked(got.withColumn("rank", rank).where("rank = 1"), docs)
 
 
 QUERIES = {"op5_ngram_jaccard": op5_ngram_jaccard}
