@@ -1,13 +1,16 @@
 """Jaccard self-join of shingle sets by PartEnum signatures, and the components of its links.
 
 Documents with equal sets are one node. Sizes fall into bands; sets of size at most u with a Jaccard
-similarity of 90/100 or more differ in at most k = floor(2u * 10 / 190) elements. A band's instance
-hashes the feature domain into P > k + 1 partitions, and of the subsets of partitions enumerates the
-single ones: d <= k differences leave at least P - d partitions equal. Put in one order for all sets, by
-falling number of elements and then by value, the first d + 1 signatures of two such sets have one in
-common, so a set signs only as many as it may differ by, and one more. The order keeps tiny partitions
-from joining unrelated sets. A set near its band's top is signed for the next band too. Nothing similar
-is missed.
+similarity of 90/100 or more differ in at most k = floor(2u * 10 / 190) elements. A band's instance hashes
+the feature domain into n1 partitions and each of these into n2 cells, and of the cells of a partition it
+enumerates the subsets of two: a signature is the elements of one subset. k differences leave some partition
+with k2 or fewer, k2 = ceil((k + 1) / n1) - 1, and n2 = k2 + 2 leaves two of its cells equal: bands with k <= 2
+have one partition of k + 2 cells, wider ones (k + 1) / 2 partitions of three or a few more.
+
+Put in one order for all sets, by falling number of elements and then by value, the signatures of two sets that
+differ in d elements have one in common among the first lost(d) + 1, where lost(d) is the most signatures that d
+differences change; so a set signs only that many. The order keeps tiny subsets from joining unrelated sets.
+A set near its band's top is signed for the next band too. Nothing similar is missed.
 
 Signatures that one node has alone end in a combining aggregation. The others form stars: each node with
 the smallest node of its signature, never all pairs. A set carries the parities of its elements' counts by
@@ -30,14 +33,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, documents, grams, map_texts, mix, packed, runs, stored, tie_order, unpacked
+from .common import Words, discard, documents, grams, map_texts, mix, packed, runs, stored, tie_order, unpacked
 
 SHINGLE, SIMILARITY = 3, 90
-#: Sizes of a band grow by this much, partitions exceed k + 1 by this much and by EXTRA.
-BAND, SPARE, EXTRA = 1.5, 1.25, 2
+#: Sizes of a band grow by this much, partitions are this many times (k + 1) / 2, and at least that.
+BAND, SPARE = 2.0, 1.0
 #: Cells of a set's parities for each element it may differ by, and the fewest and most 64-bit words of them.
 CELLS, LEAST, MOST = 12, 2, 32
 #: Members that a verifying group holds for each copy of its centre's set.
@@ -45,19 +49,27 @@ GROUP = 256
 _C = np.uint64(0xA0761D6478BD642F)
 
 
-def bands(upto: int, percent: int = SIMILARITY) -> list[tuple[int, int, int]]:
-    """(u, k, P) of each band, until sizes upto and the band after are covered."""
-    out = [((100 + percent) // (2 * (100 - percent)), 0, 1)]
+def bands(upto: int, percent: int = SIMILARITY) -> list[tuple[int, int, int, int]]:
+    """(u, k, n1, n2) of each band, until sizes upto and the band after are covered."""
+    out = [((100 + percent) // (2 * (100 - percent)), 0, 1, 2)]
     while len(out) < 3 or out[-2][0] < upto:
         u = max(out[-1][0] + 1, int(out[-1][0] * BAND))
         k = 2 * u * (100 - percent) // (100 + percent)
-        out.append((u, k, max(k + 1 + EXTRA, int(np.ceil(SPARE * (k + 1))))))
+        out.append((u, k, 1, k + 2) if k <= 2 else (u, k, max((k + 2) // 2, int(np.ceil(SPARE * (k + 1) / 2))), 3))
     # the first band's sets differ in nothing, so they are equal; its bound is the largest such size
     first = max(u for u in range(out[0][0] + 1) if 2 * u * (100 - percent) // (100 + percent) == 0)
-    out[0] = (first, 0, 1)
+    out[0] = (first, 0, 1, 2)
     return out
 
 
+def lost(differ: np.ndarray, n1: np.ndarray, n2: int) -> np.ndarray:
+    """The most signatures that so many differences change: two cells of a partition stay one signature of three."""
+    if n2 == 3:
+        return np.minimum(2 * differ, n1 + differ)
+    left = np.maximum(n2 - differ, 0)
+    return n2 * (n2 - 1) // 2 - left * (left - 1) // 2
+
+
 def shingles(w: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct shingles of each text: owner, value, in order of both, and their number by text."""
     h = w.lower_hash()
@@ -83,16 +95,15 @@ def _sums(value: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray
 
 
 def signatures(owner: np.ndarray, value: np.ndarray, size: np.ndarray, percent: int = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
-    """(text, signature) of each signed partition."""
+    """(text, signature) of each signed subset."""
     table = np.array(bands(int(size.max(initial=1)), percent))
     own = np.searchsorted(table[:, 0], size)
     nxt = np.where(size * 100 // percent > table[own, 0], own + 1, 0)
     texts, sigs = [], []
-    for inst in (own, np.where(nxt > 0, nxt, 0)):
-        take = (inst > 0) & (size > 0)
-        if not take.any():
+    for inst, n2 in [(inst, n2) for inst in (own, nxt) for n2 in sorted(set(table[1:, 3].tolist()))]:
+        of = np.flatnonzero((inst > 0) & (size > 0) & (table[inst, 3] == n2))
+        if not len(of):
             continue
-        of = np.flatnonzero(take)
         upto, parts, of_size = table[inst[of], 0], table[inst[of], 2], size[of]
         # what a set differs by from a similar one of this band, at most
         differ = (100 - percent) * (of_size + np.minimum(upto, of_size * 100 // percent)) // (100 + percent)
@@ -102,18 +113,24 @@ def signatures(owner: np.ndarray, value: np.ndarray, size: np.ndarray, percent:
         el = np.flatnonzero(rank[owner] >= 0)
         r = rank[owner[el]]
         v = mix(value[el] ^ _C)
-        part = (v >> np.uint64(20)) % parts[r].astype(np.uint64)
-        cell = lead[r] + part.astype(np.int64)
+        part = lead[r] + ((v >> np.uint64(20)) % parts[r].astype(np.uint64)).astype(np.int64)
+        cell = part * n2 + ((v & np.uint64(0xFFFFF)) % np.uint64(n2)).astype(np.int64)
         order = np.argsort(cell, kind="stable")
-        count = np.bincount(cell, minlength=int(lead[-1]))
+        count = np.bincount(cell, minlength=int(lead[-1]) * n2)
         start = np.concatenate(([0], np.cumsum(count)[:-1]))
-        total = _sums(v[order], start, count)
+        total = _sums(v[order], start, count).reshape(-1, n2)
+        count = count.reshape(-1, n2)
+        i, j = np.triu_indices(n2, 1)
         set_of = np.repeat(np.arange(len(of)), parts)
         place = np.arange(len(set_of)) - lead[set_of]
-        sig = mix(total + mix((inst[of][set_of] * (1 << 32) + place).astype(np.uint64)))
-        ranked = np.lexsort((sig, -count, set_of))
-        keep = ranked[place <= differ[set_of]]
-        texts.append(of[set_of[keep]])
+        name = (inst[of][set_of] * (1 << 32) + place * len(i))[:, None] + np.arange(len(i))
+        sig = mix(total[:, i] + total[:, j] + mix(name.astype(np.uint64))).ravel()
+        held = (count[:, i] + count[:, j]).ravel()
+        each = np.repeat(set_of, len(i))
+        ranked = np.lexsort((sig, -held, each))
+        nth = np.arange(len(each)) - (lead[:-1] * len(i))[each]
+        keep = ranked[nth <= lost(differ, parts, n2)[each]]
+        texts.append(of[each[keep]])
         sigs.append(sig[keep])
     if not texts:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -169,22 +186,29 @@ def signed(docs: DataFrame, percent: int = SIMILARITY, n: int = SHINGLE) -> Data
 
 
 def _overlaps(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, part, member, centre, set) by group, the centre first: the size of each overlap."""
-    now, centre = None, np.zeros(0, np.int64)
+    """Rows (a, part, member, lead, set) by group, the centre first: the size of each overlap, a group at a time."""
+    now, centre = None, np.zeros(0, np.uint64)
     for batch in it:
-        a, part, member, lead = (batch.column(i).to_pylist() for i in range(4))
+        a, part, member, lead = (batch.column(i).to_numpy() for i in range(4))
         sets, out = batch.column(4), []
-        for i in range(batch.num_rows):
-            s = np.frombuffer(sets[i].as_py(), np.uint64)
-            if lead[i] == 0:
-                now, centre = (a[i], part[i]), s
-            elif now == (a[i], part[i]):
-                at = np.searchsorted(centre, s).clip(max=len(centre) - 1)
-                out.append((a[i], member[i], int((centre[at] == s).sum()), len(centre), len(s)))
-            else:
-                raise ValueError(f"group {a[i]} has no centre")
-        cols = list(zip(*out, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "both", "na", "nb"])
+        lengths = pc.binary_length(sets).to_numpy() // 8
+        bound = np.concatenate(([0], np.cumsum(lengths)))
+        data = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in sets]) if len(sets) else centre
+        firsts = np.flatnonzero(lead == 0)
+        edges = np.unique(np.concatenate(([0], firsts, [batch.num_rows])))
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if lead[lo] == 0:
+                now, centre = (a[lo], part[lo]), data[bound[lo] : bound[lo + 1]].copy()
+                lo += 1
+            if lo < hi:
+                if ((a[lo:hi] != now[0]) | (part[lo:hi] != now[1])).any() if now else True:
+                    raise ValueError(f"a group of {a[lo]} has no centre")
+                x = data[bound[lo] : bound[hi]]
+                met = np.concatenate(([0], np.cumsum(centre[np.searchsorted(centre, x).clip(max=len(centre) - 1)] == x)))
+                both = met[bound[lo + 1 : hi + 1] - bound[lo]] - met[bound[lo:hi] - bound[lo]]
+                out.append((a[lo:hi], member[lo:hi], both, np.full(hi - lo, len(centre)), lengths[lo:hi]))
+        cols = [np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True)] or [np.zeros(0, np.int64)] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "both", "na", "nb"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
@@ -203,9 +227,9 @@ def linked(v: DataFrame, percent: int = SIMILARITY) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(uid, comp): the smallest node that links reach, by hooking and pointer jumping, round by round."""
+    """(uid, comp), stored: the smallest node that links reach, by hooking and pointer jumping, round by round."""
     both = stored(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "jac-edges")
-    comp = stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("c")), "jac-comp")
+    comp = stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("c"), F.lit(True).alias("moved")), "jac-comp")
     while True:
         near = both.join(comp.select(F.col("u").alias("v"), F.col("c").alias("cv")), "v").groupBy("u").agg(F.min("cv").alias("cv"))
         low = comp.join(near, "u").select("u", "c", F.least("c", "cv").alias("low"))
@@ -214,21 +238,39 @@ def components(links: DataFrame) -> DataFrame:
         hooked = low.join(root, "c").select("u", "c", F.least("low", "to").alias("low"))
         jump = hooked.select(F.col("u").alias("low"), F.col("low").alias("then"))
         new = stored(hooked.join(jump, "low", "left").select("u", F.least("low", F.coalesce("then", "low")).alias("c"), (F.least("low", F.coalesce("then", "low")) != F.col("c")).alias("moved")), "jac-comp")
-        moved = not new.where("moved").isEmpty()
-        comp = new.select("u", "c")
-        if not moved:
-            return comp.select(F.col("u").alias("uid"), F.col("c").alias("comp"))
+        discard(comp)
+        comp = new
+        if new.where("moved").isEmpty():
+            discard(both)
+            return new.select(F.col("u").alias("uid"), F.col("c").alias("comp"))
+
+
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp (uid, comp) with further links: only the components that these join are worked out anew."""
+    ca, cb = comp.toDF("a", "ca"), comp.toDF("b", "cb")
+    hops = links.join(ca, "a", "left").join(cb, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a != b").distinct()
+    hops = stored(hops, "jac-hops")
+    if hops.isEmpty():
+        return comp
+    more = components(hops).toDF("of", "to")
+    known = comp.join(more, comp["comp"] == more["of"], "left").select("uid", F.coalesce("to", "comp").alias("comp"))
+    new = more.join(comp, more["of"] == comp["uid"], "left_anti").select(F.col("of").alias("uid"), F.col("to").alias("comp"))
+    out = stored(known.unionByName(new), "jac-comp")
+    discard(hops)
+    return out
 
 
 def join(df: DataFrame, percent: int = SIMILARITY, n: int = SHINGLE) -> DataFrame:
     """(doc_id, tp, n_shingles, component_id, uid, comp) of each row of df; comp is the component's node."""
     docs = df.select("doc_id", F.xxhash64("text").alias("tp"), "text")
-    rows = stored(signed(docs, percent, n).withColumn("uid", F.monotonically_increasing_id()), "jac-signed")
+    all_of = stored(signed(docs, percent, n).withColumn("uid", F.monotonically_increasing_id()), "jac-signed")
+    rows = stored(all_of.drop("sigs"), "jac-rows")
     nodes = stored(rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("uid").alias("node")), "jac-nodes")
-    sig = rows.join(nodes.select(F.col("node").alias("uid")), "uid", "left_semi").select("uid", F.explode("sigs").alias("sig"))
+    sig = all_of.join(nodes.select(F.col("node").alias("uid")), "uid", "left_semi").select("uid", F.explode("sigs").alias("sig"))
     # signatures are counted without their nodes, and only those that are shared carry more
     shared = sig.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")
     member = stored(sig.join(shared, "sig", "left_semi").select("sig", F.col("uid").alias("b")), "jac-members")
+    discard(all_of)
     least = member.groupBy("sig").agg(F.min("b").alias("a"))
     star = stored(member.join(least, "sig").where("a != b"), "jac-stars")
     shape = rows.join(nodes.select(F.col("node").alias("uid")), "uid", "left_semi").select("uid", "n", "par")
@@ -244,17 +286,26 @@ def join(df: DataFrame, percent: int = SIMILARITY, n: int = SHINGLE) -> DataFram
 
     # a row of the documents that repeats lifts its set again
     sets = stored(map_texts(held, ["uid"], lift, "uid bigint, set binary").dropDuplicates(["uid"]), "jac-sets")
+    discard(member)
     best = spokes.groupBy("b").agg(F.max(F.struct("weight", -F.col("a"))).alias("top")).select((-F.col("top.col2")).alias("a"), "b")
-    known = verified(best, sets, "jac-first")
-    comp = components(linked(known, percent))
-    rest = across(spokes.select("a", "b").join(best, ["a", "b"], "left_anti"), comp)
-    links = linked(known, percent).unionByName(linked(verified(rest, sets, "jac-rest"), percent))
-    comp = components(links)
+    seen = verified(best, sets, "jac-first")
+    comp = components(linked(seen, percent))
+
+    def further(pairs: DataFrame, name: str) -> DataFrame:
+        found = verified(pairs, sets, name)
+        out = merged(comp, linked(found, percent))
+        discard(found)
+        return out
+
+    comp = further(across(spokes.select("a", "b").join(best, ["a", "b"], "left_anti"), comp), "jac-rest")
     few = _mixed(star.select("sig", "b").join(shape.toDF("b", "nb", "par"), "b"), comp)
-    links = links.unionByName(linked(verified(_drawn(few, percent), sets, "jac-drawn"), percent))
-    comp = components(links)
-    cross = _across(_mixed(few.drop("comp"), comp), percent)
-    comp = components(links.unionByName(linked(verified(cross, sets, "jac-cross"), percent)))
+    discard(seen, spokes, star)
+    drawn = _drawn(few, percent)
+    comp = further(drawn, "jac-drawn")
+    left = _mixed(few.drop("comp"), comp)
+    cross = _across(left, percent)
+    comp = further(cross, "jac-cross")
+    discard(few, drawn, left, cross, sets)
     node = rows.join(nodes, ["f1", "f2", "n"], "left").join(comp.withColumnRenamed("uid", "node"), "node", "left")
     node = node.select("doc_id", "tp", F.col("n").alias("n_shingles"), "uid", F.coalesce("comp", "node", "uid").alias("comp"))
     least = node.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
