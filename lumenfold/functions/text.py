@@ -167,3 +167,43 @@ def evidence(c, bank: list, agree: int = 2) -> Column:
     name = F.coalesce(*[F.when(v.isNotNull(), F.lit(conf)) for conf, v in values])
     near = sum((F.coalesce(F.abs(v - best) <= agree, F.lit(False)).cast("int") for _, v in values), F.lit(0))
     return F.struct(best.alias("value"), F.when(near > 1, F.concat(name, F.lit("+"))).otherwise(name).alias("confidence"))
+
+
+#: Character entities that markup of this kind uses, the ampersand last.
+ENTITIES = [("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&")]
+
+
+def html_meta(c, name: str) -> Column:
+    """The content of a meta property, whichever attribute comes first, with entities resolved; '' if none."""
+    ahead = F.regexp_extract(col(c), rf'(?is)<meta[^>]*property="{name}"[^>]*content="([^"]*)"', 1)
+    out = F.coalesce(F.nullif(ahead, F.lit("")), F.regexp_extract(col(c), rf'(?is)<meta[^>]*content="([^"]*)"[^>]*property="{name}"', 1))
+    for entity, char in ENTITIES:
+        out = F.replace(out, F.lit(entity), F.lit(char))
+    return out
+
+
+def profile_counts(c) -> Column:
+    """(posts, followers, following, origin): from the page's text, each from its description if missing there."""
+    page, meta = visible_text(c), html_meta(c, "og:description")
+    names = ("posts", "followers", "following")
+    of = lambda text, w: parse_count(F.regexp_extract(text, rf"(?i)([0-9.,]+[KM]?) {w}", 1))
+    origin = F.when(of(page, "followers").isNotNull(), "page").when(of(meta, "followers").isNotNull(), "meta")
+    return F.struct(*[F.coalesce(of(page, w), of(meta, w)).alias(w) for w in names], origin.alias("origin"))
+
+
+def profile_bio(visible, stop: str = "Follow") -> Column:
+    """What stands after the counts, up to the first word of the page itself; 500 characters, null if nothing."""
+    return F.nullif(F.left(F.trim(F.regexp_extract(col(visible), rf"(?i)following (.*?)(?: {stop}\b.*)?$", 1)), F.lit(500)), F.lit(""))
+
+
+def video_url(c) -> Column:
+    """The page's own video address, else the longest one in it (of equals the first in order)."""
+    found = F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(r'"(https?://[^"]+\.mp4[^"]*)"'), F.lit(1))
+    longest = F.array_min(F.transform(found, lambda u: F.struct((-F.length(u)).alias("n"), u.alias("u"))))["u"]
+    return F.coalesce(F.nullif(html_meta(c, "og:video"), F.lit("")), longest)
+
+
+def handles_in(c, stop: list[str], lo: int = 4, hi: int = 30) -> Column:
+    """Distinct handle-like tokens of a text: lengths lo to hi, no stop words, not digits alone."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(col(c), F.lit(""))), F.lit("[a-z0-9_.]+"), F.lit(0)))
+    return F.array_except(F.filter(found, lambda w: F.length(w).between(lo, hi) & ~w.rlike(r"^[0-9.]+$")), F.array(*[F.lit(s) for s in stop]).cast("array<string>"))
