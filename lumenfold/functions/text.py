@@ -28,7 +28,7 @@ def strip_tags_mentions(c) -> Column:
 
 def tokens(c) -> Column:
     """Alphabetic tokens, lower-cased, outside tags and mentions."""
-    return F.transform(F.regexp_extract_all(strip_tags_mentions(normalise(c)), F.lit(r"\p{L}+(?:'\p{L}{1,2})?"), F.lit(0)), F.lower)
+    return F.transform(F.regexp_extract_all(strip_tags_mentions(normalise(c)), F.lit(r"\p{L}+(?:'\p{L}+)?"), F.lit(0)), F.lower)
 
 
 def word_count(c) -> Column:
@@ -207,3 +207,8 @@ def handles_in(c, stop: list[str], lo: int = 4, hi: int = 30) -> Column:
     """Distinct handle-like tokens of a text: lengths lo to hi, no stop words, not digits alone."""
     found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(col(c), F.lit(""))), F.lit("[a-z0-9_.]+"), F.lit(0)))
     return F.array_except(F.filter(found, lambda w: F.length(w).between(lo, hi) & ~w.rlike(r"^[0-9.]+$")), F.array(*[F.lit(s) for s in stop]).cast("array<string>"))
+
+
+def longest(strings) -> Column:
+    """The longest string of an array, the first in order of equals; null if there is none."""
+    return F.array_min(F.transform(col(strings), lambda u: F.struct((-F.length(u)).alias("n"), u.alias("u"))))["u"]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import col, normal_tail, sign_p
+from ..functions.numbers import col, fisher_p, normal_tail, sign_p
 
 
 def midranks(df: DataFrame, test: str, value: str, *groups: str) -> DataFrame:
@@ -56,18 +56,109 @@ def wilcoxon(df: DataFrame, test: str, diff: str, least: int = 5) -> DataFrame:
     a = r.groupBy(test).agg(F.sum("n").alias("n"), F.sum(F.col("pos") * F.col("midrank")).alias("w"), F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"))
     n = F.col("n")
     mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
-    z = (F.greatest(F.abs(F.col("w") - mean) - 0.5, F.lit(0.0))) / F.sqrt(F.nullif(var, F.lit(0.0)))
-    return a.select(test, "n", "w", F.when(n >= least, F.least(F.lit(1.0), 2 * normal_tail(z))).alias("p"))
+    # the continuity term goes towards the mean, and counts as below it where w is the mean itself
+    z = (F.col("w") - mean - F.when(F.col("w") > mean, 0.5).otherwise(-0.5)) / F.sqrt(F.nullif(F.greatest(var, F.lit(0.0)), F.lit(0.0)))
+    return a.select(test, "n", "w", F.when(n >= least, F.when(var <= 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * normal_tail(z)))).alias("p"))
 
 
-def bh_fdr(df: DataFrame, p: str, *by: str) -> DataFrame:
-    """q by Benjamini and Hochberg over the non-null p of each family."""
-    w = Window.partitionBy(*(by or [F.lit(0)]))
-    m = F.count(p).over(w)
-    rank = F.row_number().over(w.orderBy(F.col(p).asc_nulls_last()))
-    raw = df.withColumn("__raw", F.when(F.col(p).isNotNull(), F.col(p) * m / rank)).withColumn("__rank", rank)
-    q = F.least(F.lit(1.0), F.min("__raw").over(w.orderBy("__rank").rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    return raw.withColumn("q", F.when(F.col(p).isNotNull(), q)).drop("__raw", "__rank")
+def bh_fdr(df: DataFrame, p: str, *by: str, parts: int = 1024) -> DataFrame:
+    """q by Benjamini and Hochberg over the non-null p of each family.
+
+    Equal p share their largest rank, so distinct values are ranked, range of p by range of p: a family of any
+    size is the work of many tasks, and only sums and minima of the ranges meet in one.
+    """
+    keys = list(by)
+    part = F.least(F.floor(F.col(p) * parts), F.lit(parts - 1))
+    d = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("__n")).withColumn("__part", part)
+    up, down = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__part"), Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc("__part"))
+    past = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    held = d.groupBy(*keys, "__part").agg(F.sum("__n").alias("__held"))
+    held = held.select(*keys, "__part", F.coalesce(F.sum("__held").over(past(up)), F.lit(0)).alias("__before"), F.sum("__held").over(Window.partitionBy(*(keys or [F.lit(0)]))).alias("__m"))
+    inner = Window.partitionBy(*keys, "__part")
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rank = F.col("__before") + F.sum("__n").over(upto(inner.orderBy(p)))
+    d = d.join(held, [*keys, "__part"]).withColumn("__raw", F.col(p) * F.col("__m") / rank)
+    least = d.groupBy(*keys, "__part").agg(F.min("__raw").alias("__least"))
+    least = least.select(*keys, "__part", F.min("__least").over(past(down)).alias("__later"))
+    d = d.join(least, [*keys, "__part"])
+    q = F.least(F.lit(1.0), F.min("__raw").over(upto(inner.orderBy(F.desc(p)))), F.col("__later"))
+    return df.join(d.select(*keys, p, q.alias("q")), [*keys, p], "left")
+
+
+def order_statistics(df: DataFrame, keys: list[str], value: str, indexes: dict[str, Column]) -> DataFrame:
+    """(keys, a column a name): the element of each group's sorted values at a 0-based place, an expression of n.
+
+    Values are counted first and their counts summed in order, so no group's values are gathered in one row.
+    """
+    c = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__k"))
+    w = Window.partitionBy(*(keys or [F.lit(0)]))
+    c = c.withColumn("__upto", F.sum("__k").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("n", F.sum("__k").over(w))
+    at = lambda i: F.max(F.when((i < F.col("__upto")) & (i >= F.col("__upto") - F.col("__k")), F.col(value)))
+    return c.groupBy(*keys).agg(*[at(i).alias(name) for name, i in indexes.items()])
+
+
+def mann_whitney_auto(df: DataFrame, test: str, value: str, positive: str, small: int = 8) -> DataFrame:
+    """By test: n1, n0, U of the positive rows and p as statistics libraries give it by default.
+
+    Exact without ties where a side has small rows or fewer (counts of the arrangements with at most that U, by
+    recurrence, of tests that are small themselves), else normal with the 0.5 continuity and ties corrected.
+    """
+    r = midranks(df, test, value, positive)
+    a = r.groupBy(test).agg(F.sum(positive).alias("n1"), F.sum(F.col("n") - F.col(positive)).alias("n0"), F.sum(F.col(positive) * F.col("midrank")).alias("r1"), F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"))
+    n, u = F.col("n1") + F.col("n0"), F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
+    var = F.col("n1") * F.col("n0") / 12 * ((n + 1) - F.col("ties") / F.nullif(n * (n - 1), F.lit(0)))
+    z = (F.abs(u - F.col("n1") * F.col("n0") / 2) - 0.5) / F.sqrt(F.nullif(var, F.lit(0.0)))
+    tail = normal_tail(z)
+    normal = F.when(var <= 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.when(z < 0, 1 - tail).otherwise(tail)))
+    a = a.select(test, "n1", "n0", u.alias("u"), normal.alias("p"), ((F.least("n1", "n0") <= small) & (F.greatest("n1", "n0") <= 200) & (F.col("ties") == 0)).alias("__exact"))
+    kind = df.schema[test].dataType.simpleString()
+
+    def exact(it):
+        for g in it:
+            g["p"] = [_exact_u(int(x.n1), int(x.n0), float(x.u)) for x in g.itertuples()]
+            yield g
+
+    some = a.where("__exact").mapInPandas(exact, f"{test} {kind}, n1 bigint, n0 bigint, u double, p double, __exact boolean")
+    return a.where("not __exact").unionByName(some).select(test, "n1", "n0", "u", F.when((F.col("n1") > 0) & (F.col("n0") > 0), F.col("p")).alias("p"))
+
+
+def _exact_u(n1: int, n0: int, u: float) -> float:
+    """Two-sided exact p: twice the share of arrangements whose U is as far out."""
+    ways = [1] + [0] * (n1 * n0)
+    for i in range(1, min(n1, n0) + 1):  # the Gaussian binomial, factor by factor
+        top = max(n1, n0) + i
+        for k in range(len(ways) - 1, top - 1, -1):
+            ways[k] -= ways[k - top]
+        for k in range(i, len(ways)):
+            ways[k] += ways[k - i]
+    low = int(min(u, n1 * n0 - u))
+    return min(1.0, 2 * sum(ways[: low + 1]) / sum(ways))
+
+
+def univariate(df: DataFrame, test: str, value: str, positive: str) -> DataFrame:
+    """By feature: auc, medians of both classes, direction, Mann-Whitney p and q."""
+    a = auc_mann_whitney(df, test, value, positive)
+    med = df.groupBy(test).agg(F.median(F.when(F.col(positive), F.col(value))).alias("median1"), F.median(F.when(~F.col(positive), F.col(value))).alias("median0"))
+    way = F.when(F.col("median1") > F.col("median0"), ">").when(F.col("median1") < F.col("median0"), "<").otherwise("=")
+    return bh_fdr(a.join(med, test).withColumn("direction", way), "p")
+
+
+def selection(df: DataFrame, items: dict[str, Column], chosen: str) -> DataFrame:
+    """By yes/no item: k and n with an answer among the chosen and the rest, and Fisher's exact p."""
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("item"), c.alias("v")) for name, c in items.items()]))
+    d = df.select(chosen, each.alias("x")).select(chosen, "x.item", "x.v").where("v is not null")
+    n = lambda g, v: F.count_if((F.col(chosen) == g) & (F.col("v") == v))
+    t = d.groupBy("item").agg(n(True, True).alias("k1"), n(True, False).alias("m1"), n(False, True).alias("k0"), n(False, False).alias("m0"))
+    return t.select("item", "k1", (F.col("k1") + F.col("m1")).alias("n1"), "k0", (F.col("k0") + F.col("m0")).alias("n0"), fisher_p("k1", "m1", "k0", "m0").alias("p"))
+
+
+def paired_contrast(df: DataFrame, test: str, entity: str, window: str, value: str, near: str = "peri", base: str = "base") -> DataFrame:
+    """By test: shares of each entity's two windows compared; an entity without a valid value in a window is left out for that test."""
+    side = lambda w, f: f(F.when(F.col(window) == w, F.col(value)))
+    e = df.groupBy(test, entity).agg(side(near, F.avg).alias("p1"), side(base, F.avg).alias("p0"), side(near, F.sum).alias("k1"), side(base, F.sum).alias("k0"), side(near, F.count).alias("n1"), side(base, F.count).alias("n0")).where("p1 is not null and p0 is not null")
+    e = e.withColumn("d", F.round(F.col("p1") - F.col("p0"), 9))
+    s = paired(e, test, "p1", "p0").join(e.groupBy(test).agg(*[F.sum(c).alias(c) for c in ("k1", "n1", "k0", "n0")]), test)
+    return bh_fdr(s.join(wilcoxon(e, test, "d").select(test, F.col("p").alias("wilcoxon_p")), test, "left"), "wilcoxon_p")
 
 
 def kappa(df: DataFrame, a: str, b: str, *by: str) -> DataFrame:
@@ -123,6 +214,41 @@ def kappa_grade(k) -> Column:
     return F.when(col(k).isNull(), "undefined").when(F.round(col(k), 9) < 0, "poor").otherwise(out)
 
 
+def kappa_grade_of_five(k) -> Column:
+    """The five grades from below 0.20 up, and n/a where chance agreement is certain."""
+    out = F.lit("almost perfect")
+    for bound, name in ((0.8, "substantial"), (0.6, "moderate"), (0.4, "weak"), (0.2, "poor")):
+        out = F.when(col(k) < bound, name).otherwise(out)
+    return F.when(col(k).isNull(), "n/a").otherwise(out)
+
+
+def resampled(df: DataFrame, strata: list[str], value: Column, replicates: int, seed: str) -> DataFrame:
+    """(b, strata, value): replicates of a study drawn with replacement within its strata, by hashed draws.
+
+    For studies of accounts by the thousand: rows times replicates travel, so its rows are to be bounded.
+    """
+    w = Window.partitionBy(*(strata or [F.lit(0)]))
+    rows = df.select(*strata, value.alias("value"))
+    rows = rows.withColumn("i", F.row_number().over(w.orderBy("value")) - 1).withColumn("n", F.count("*").over(w))
+    draws = rows.select(*strata, "i", "n").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    text = F.concat_ws(":", F.lit(seed), F.col("b").cast("string"), *[F.col(c).cast("string") for c in strata], F.col("i").cast("string"))
+    at = F.conv(F.left(F.md5(text), F.lit(12)), 16, 10).cast("long") % F.col("n")
+    return draws.select(*strata, "b", at.alias("i")).join(rows.drop("n"), [*strata, "i"]).select("b", *strata, "value")
+
+
+def auc_boot(df: DataFrame, value: str, positive: str, replicates: int = 2000, seed: str = "a") -> DataFrame:
+    """(lo, hi, replicates): percentile interval of the area under the curve over rows redrawn class by class."""
+    r = resampled(df, [positive], F.col(value).cast("double"), replicates, seed)
+    a = auc_mann_whitney(r, "b", "value", positive)
+    return a.agg(F.percentile("auc", F.lit(0.025)).alias("lo"), F.percentile("auc", F.lit(0.975)).alias("hi"), F.count("auc").alias("replicates"))
+
+
+def ratio_boot(df: DataFrame, ratio: str, replicates: int = 2000, seed: str = "r") -> DataFrame:
+    """(lo, hi, replicates): percentile interval of the geometric mean of a ratio over redrawn rows."""
+    g = resampled(df, [], F.ln(F.col(ratio)), replicates, seed).groupBy("b").agg(F.exp(F.avg("value")).alias("g"))
+    return g.agg(F.percentile("g", F.lit(0.025)).alias("lo"), F.percentile("g", F.lit(0.975)).alias("hi"), F.count("g").alias("replicates"))
+
+
 def kappa_boot(df: DataFrame, a: str, b: str, replicates: int = 2000, seed: str = "k") -> DataFrame:
     """(lo, hi, replicates): percentile interval of kappa over resampled rows.
 

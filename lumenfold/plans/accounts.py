@@ -116,8 +116,10 @@ def agg_count_distinct(t):
 @query("""select q.c_mktsegment as segment, median(c_acctbal) as median, round(avg(c_acctbal), 6) as mean, round(stddev_pop(c_acctbal), 6) as pstdev, quantile_cont(c_acctbal, 0.25) as p25,
   (list_sort(list(c_acctbal)))[count(*) // 4 + 1] as floor_p25, (list_sort(list(c_acctbal)))[count(*) // 2 + 1] as upper_median, (list_sort(list(c_acctbal)))[(0.75 * (count(*) - 1))::double::int64 + case when (0.75 * (count(*) - 1))::double::int64 > 0.75 * (count(*) - 1) then 0 else 1 end] as idx_p75 from customer q group by 1""")
 def agg_quantile_family(t):
-    n, x = F.count("*"), "c_acctbal"
-    return t("customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.median(x).alias("median"), r6(F.avg(x)).alias("mean"), r6(F.stddev_pop(x)).alias("pstdev"), F.percentile(x, F.lit(0.25)).alias("p25"), N.element_quantile(x, F.floor(n / 4)).alias("floor_p25"), N.element_quantile(x, F.floor(n / 2)).alias("upper_median"), N.element_quantile(x, F.floor(0.75 * (n - 1))).alias("idx_p75"))
+    n, x, c = F.col("n"), "c_acctbal", t("customer").withColumnRenamed("c_mktsegment", "segment")
+    plain = c.groupBy("segment").agg(F.median(x).alias("median"), r6(F.avg(x)).alias("mean"), r6(F.stddev_pop(x)).alias("pstdev"), F.percentile(x, F.lit(0.25)).alias("p25"))
+    picked = S.order_statistics(c, ["segment"], x, {"floor_p25": F.floor(n / 4), "upper_median": F.floor(n / 2), "idx_p75": F.floor(0.75 * (n - 1))})
+    return plain.join(picked, "segment", "left")
 
 
 @query("select user_id, round((atan2(sum(sin(2 * pi() * h / 24)), sum(cos(2 * pi() * h / 24))) * 24 / (2 * pi()) + 24) % 24, 6) as hour from (select user_id, hour(ts) + minute(ts) / 60.0::double as h from events) group by user_id")
@@ -209,7 +211,7 @@ def txt_punct(t):
     return t("documents").select("doc_id", X.found("text", "[!¡]").alias("bangs"), X.found("text", r"\.\.\.+|…").alias("dots"), F.size(X.hashtags("text")).alias("tags"), F.size(X.mentions("text")).alias("at"))
 
 
-@query(r"""with k as (select doc_id, list_transform(regexp_extract_all(regexp_replace(regexp_replace(text, '#[\p{L}\p{N}_]+', ' ', 'g'), '@[\p{L}\p{N}_.]+', ' ', 'g'), '\p{L}+(?:''\p{L}{1,2})?'), lambda x: lower(x)) as w from documents)
+@query(r"""with k as (select doc_id, list_transform(regexp_extract_all(regexp_replace(regexp_replace(text, '#[\p{L}\p{N}_]+', ' ', 'g'), '@[\p{L}\p{N}_.]+', ' ', 'g'), '\p{L}+(?:''\p{L}+)?'), lambda x: lower(x)) as w from documents)
 select doc_id, len(w) as tokens, len(list_filter(w, lambda x: x in ('the', 'and', 'of') or x like 'tion%')) as hits, len(list_distinct(w)) as types from k""")
 def txt_tokens(t):
     w = F.col("w")
@@ -269,10 +271,35 @@ def st_smd(t):
     return S.smd(c, "test", "c_acctbal", "is_case").select("test", r6("smd").alias("smd"))
 
 
-@query(None)
+@query(f"""with d as (select l_returnflag as test, l_quantity - 25 as diff from lineitem where l_quantity <> 25), c as (select test, abs(diff) as a, count(*) as k, count(*) filter (diff > 0) as pos from d group by all),
+r as (select *, coalesce(sum(k) over (partition by test order by a rows between unbounded preceding and 1 preceding), 0) + (k + 1) / 2.0::double as mid from c),
+s as (select test, sum(k)::bigint as n, sum(pos * mid) as w, sum(k::double * k * k - k) as ties from r group by test),
+z as (select *, n * (n + 1) / 4.0::double as mean, n::double * (n + 1) * (2 * n + 1) / 24.0::double - ties / 48.0::double as var from s)
+select test, n, w, round(case when n >= 5 then case when var <= 0 then 1.0 else least(1.0, 2 * {N.normal_tail_sql('((w - mean - case when w > mean then 0.5 else -0.5 end) / sqrt(var))')}) end end, 9) as p from z""")
 def st_wilcoxon(t):
     d = t("lineitem").select(F.col("l_returnflag").alias("test"), (F.col("l_quantity") - 25).alias("diff"))
-    return S.wilcoxon(d, "test", "diff")
+    return S.wilcoxon(d, "test", "diff").withColumn("p", F.round("p", 9))
+
+
+_MW = """b as (select c_nationkey as test, c_acctbal as v, c_mktsegment in ('BUILDING', 'MACHINERY') as pos from customer),
+r as (select test, pos, rank() over (partition by test order by v) + (count(*) over (partition by test, v) - 1) / 2.0::double as k, count(*) over (partition by test, v) as t from b),
+s as (select test, count(*) filter (pos) as n1, count(*) filter (not pos) as n0, sum(k) filter (pos) as r1, sum(t * t - 1.0::double) as ties from r group by test),
+u as (select *, r1 - n1 * (n1 + 1) / 2.0::double as u, n1 * n0 / 12.0::double * ((n1 + n0 + 1) - ties / nullif((n1 + n0) * (n1 + n0 - 1), 0)) as var from s)"""
+
+
+def _mw(t):
+    return t("customer").select(F.col("c_nationkey").alias("test"), F.col("c_acctbal").alias("v"), F.col("c_mktsegment").isin("BUILDING", "MACHINERY").alias("pos"))
+
+
+@query(f"with {_MW} select test, n1, n0, round(case when n1 < 2 or n0 < 2 then null when var <= 0 then 1.0 else least(1.0, 2 * {N.normal_tail_sql('((u - n1 * n0 / 2.0::double) / sqrt(nullif(var, 0)))')}) end, 9) as p from u")
+def st_mann_whitney(t):
+    return S.auc_mann_whitney(_mw(t), "test", "v", "pos").select("test", "n1", "n0", F.round("p", 9).alias("p"))
+
+
+@query(f"""with {_MW.replace("c_nationkey as test", "c_nationkey % 5 as test")}, z as (select *, (abs(u - n1 * n0 / 2.0::double) - 0.5) / sqrt(nullif(var, 0)) as z from u), q as (select *, {N.normal_tail_sql('z')} as tail from z)
+select test, n1, n0, u, round(least(1.0, 2 * case when z < 0 then 1 - tail else tail end), 9) as p from q""")
+def st_mann_whitney_scipy(t):
+    return S.mann_whitney_auto(_mw(t).withColumn("test", F.col("test") % 5), "test", "v", "pos").withColumn("p", F.round("p", 9))
 
 
 # several anchor windows in one pass

@@ -176,7 +176,7 @@ def txt_caps_words(t):
     return d.select("doc_id", X.caps_words("text").alias("caps"), (F.col("text").rlike(r"\S") & ~F.col("text").rlike(r"\p{L}")).alias("symbols_only"), (F.trim("text") == "").alias("blank"))
 
 
-@query(r"""with k as (select doc_id, list_transform(regexp_extract_all(regexp_replace(regexp_replace(text, '#[\p{L}\p{N}_]+', ' ', 'g'), '@[\p{L}\p{N}_.]+', ' ', 'g'), '\p{L}+(?:''\p{L}{1,2})?'), lambda x: lower(x)) as w from documents),
+@query(r"""with k as (select doc_id, list_transform(regexp_extract_all(regexp_replace(regexp_replace(text, '#[\p{L}\p{N}_]+', ' ', 'g'), '@[\p{L}\p{N}_.]+', ' ', 'g'), '\p{L}+(?:''\p{L}+)?'), lambda x: lower(x)) as w from documents),
 n as (select doc_id, len(w) as k, len(list_filter(w, lambda x: x in ('the', 'and', 'of', 'to', 'is'))) as en, len(list_filter(w, lambda x: x in ('el', 'la', 'de', 'que', 'y'))) as es from k)
 select doc_id, case when k < 2 then null when en >= 2 and en > es then 'en' else 'es' end as guess from n""")
 def txt_language(t):

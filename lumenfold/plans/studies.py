@@ -35,7 +35,7 @@ def feat_meta(t):
     return f.select("user_id", "n", "days", "kinds", "top_value", *[r6(c).alias(c) for c in ("months", "rate", "night", "weekend", "view_share", "mean_value", "gap", "bursty")])
 
 
-_TOK = r"""k as (select source, coalesce(text, '') as text, list_transform(regexp_extract_all(regexp_replace(regexp_replace(coalesce(text, ''), '#[\p{L}\p{N}_]+', ' ', 'g'), '@[\p{L}\p{N}_.]+', ' ', 'g'), '\p{L}+(?:''\p{L}{1,2})?'), lambda x: lower(x)) as w from documents where source is not null)"""
+_TOK = r"""k as (select source, coalesce(text, '') as text, list_transform(regexp_extract_all(regexp_replace(regexp_replace(coalesce(text, ''), '#[\p{L}\p{N}_]+', ' ', 'g'), '@[\p{L}\p{N}_.]+', ' ', 'g'), '\p{L}+(?:''\p{L}+)?'), lambda x: lower(x)) as w from documents where source is not null)"""
 
 
 @query(rf"""with {_TOK}, c as (select source, len(w) as words, list_sum(list_transform(w, lambda x: length(x))) as chars, len(list_filter(w, lambda x: x in ('i', 'me', 'my'))) as self, len(regexp_extract_all(text, '[!¡]')) as bangs, len(regexp_extract_all(text, '@[\p{{L}}\p{{N}}_.]+')) as ats from k),
