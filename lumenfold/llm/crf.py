@@ -187,11 +187,11 @@ def fit(rows: list[tuple[str, bytes]], sequences: int = SEQUENCES, epochs: int =
     weights, steps = np.zeros((1 << BITS, max(k, 1))), np.zeros((max(k, 1), max(k, 1)))
     if k < 2:
         return Model(labels, weights, steps)
+    # runs of words are drawn from whole texts, and features are made of what is drawn
     w = Words([t for _, t in rows])
-    words, by_byte = features(w)
     label_of = np.array([labels.index(name) for name, _ in rows])
     pools = [np.flatnonzero((label_of == i) & (w.count > 0)) for i in range(k)]
-    x, y = np.zeros((sequences, LENGTH), np.int64), np.zeros((sequences, LENGTH), np.int64)
+    drawn, y = [], np.zeros((sequences, LENGTH), np.int64)
     for s in range(sequences):
         at = 0
         while at < LENGTH:
@@ -199,8 +199,12 @@ def fit(rows: list[tuple[str, bytes]], sequences: int = SEQUENCES, epochs: int =
             doc = pools[lab][rng.integers(len(pools[lab]))]
             n = min(int(rng.integers(RUN[0], RUN[1] + 1)), LENGTH - at, int(w.count[doc]))
             off = int(rng.integers(w.count[doc] - n + 1)) + w.first[doc]
-            x[s, at : at + n], y[s, at : at + n] = np.arange(off, off + n), lab
+            drawn.append(w.buf[w.start[off] : w.end[off + n - 1]].tobytes())
+            y[s, at : at + n] = lab
             at += n
+    w = Words(drawn)
+    words, by_byte = features(w)
+    x = np.arange(sequences * LENGTH).reshape(sequences, LENGTH)
     g2, s2, rate, batch = np.full(weights.shape, 1e-3), np.full(steps.shape, 1e-1), 0.15, 64
     one = np.eye(k)
     for _ in range(epochs):
