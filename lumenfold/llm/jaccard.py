@@ -3,9 +3,11 @@
 Documents with equal sets are one node. Sizes fall into bands; sets of size at most u with a Jaccard
 similarity of 90/100 or more differ in at most k = floor(2u * 10 / 190) elements. A band's instance hashes
 the feature domain into n1 partitions and each of these into n2 cells, and of the cells of a partition it
-enumerates the subsets of two: a signature is the elements of one subset. k differences leave some partition
-with k2 or fewer, k2 = ceil((k + 1) / n1) - 1, and n2 = k2 + 2 leaves two of its cells equal: bands with k <= 2
-have one partition of k + 2 cells, wider ones (k + 1) / 2 partitions of three or a few more.
+enumerates the subsets of n2 - k2: a signature is the elements of one subset. k differences leave some
+partition with k2 or fewer, k2 = ceil((k + 1) / n1) - 1, and so one of its subsets whole. Narrow bands (k up to
+PAIRS) enumerate subsets of two: k <= 2 in one partition of k + 2 cells, others in (k + 1) / 2 partitions of
+three, where small sets need selective signatures. Wide bands enumerate the single cells of partitions of
+two: subsets of two would make half as many signatures again, and large sets' cells are selective as they are.
 
 Put in one order for all sets, by falling number of elements and then by value, the signatures of two sets that
 differ in d elements have one in common among the first lost(d) + 1, where lost(d) is the most signatures that d
@@ -40,8 +42,9 @@ from pyspark.sql import functions as F
 from .common import Words, discard, documents, grams, map_texts, mix, packed, runs, stored, tie_order, unpacked
 
 SHINGLE, SIMILARITY = 3, 90
-#: Sizes of a band grow by this much, partitions are this many times (k + 1) / 2, and at least that.
-BAND, SPARE = 2.0, 1.0
+#: Sizes of a band grow by this much; bands with at most PAIRS differences enumerate subsets of two cells;
+#: partitions of two cells are SPARE times (k + 1) / 2.
+BAND, PAIRS, SPARE = 1.5, 16, 1.25
 #: Cells of a set's parities for each element it may differ by, and the fewest and most 64-bit words of them.
 CELLS, LEAST, MOST = 12, 2, 32
 #: Members that a verifying group holds for each copy of its centre's set.
@@ -51,19 +54,22 @@ _C = np.uint64(0xA0761D6478BD642F)
 
 def bands(upto: int, percent: int = SIMILARITY) -> list[tuple[int, int, int, int]]:
     """(u, k, n1, n2) of each band, until sizes upto and the band after are covered."""
-    out = [((100 + percent) // (2 * (100 - percent)), 0, 1, 2)]
+    out = [((100 + percent) // (2 * (100 - percent)), 0, 1, 0)]
     while len(out) < 3 or out[-2][0] < upto:
         u = max(out[-1][0] + 1, int(out[-1][0] * BAND))
         k = 2 * u * (100 - percent) // (100 + percent)
-        out.append((u, k, 1, k + 2) if k <= 2 else (u, k, max((k + 2) // 2, int(np.ceil(SPARE * (k + 1) / 2))), 3))
+        wide = (u, k, int(np.ceil(SPARE * (k + 1) / 2)) + 1, 2)
+        out.append((u, k, 1, k + 2) if k <= 2 else (u, k, (k + 2) // 2, 3) if k <= PAIRS else wide)
     # the first band's sets differ in nothing, so they are equal; its bound is the largest such size
     first = max(u for u in range(out[0][0] + 1) if 2 * u * (100 - percent) // (100 + percent) == 0)
-    out[0] = (first, 0, 1, 2)
+    out[0] = (first, 0, 1, 0)
     return out
 
 
 def lost(differ: np.ndarray, n1: np.ndarray, n2: int) -> np.ndarray:
-    """The most signatures that so many differences change: two cells of a partition stay one signature of three."""
+    """The most signatures that so many differences change: one each of single cells, two of three of a pair's first."""
+    if n2 == 2:
+        return differ
     if n2 == 3:
         return np.minimum(2 * differ, n1 + differ)
     left = np.maximum(n2 - differ, 0)
@@ -120,12 +126,13 @@ def signatures(owner: np.ndarray, value: np.ndarray, size: np.ndarray, percent:
         start = np.concatenate(([0], np.cumsum(count)[:-1]))
         total = _sums(v[order], start, count).reshape(-1, n2)
         count = count.reshape(-1, n2)
-        i, j = np.triu_indices(n2, 1)
+        # a subset of one cell is the cell, of two cells a pair
+        i, j = (np.arange(2), None) if n2 == 2 else np.triu_indices(n2, 1)
         set_of = np.repeat(np.arange(len(of)), parts)
         place = np.arange(len(set_of)) - lead[set_of]
         name = (inst[of][set_of] * (1 << 32) + place * len(i))[:, None] + np.arange(len(i))
-        sig = mix(total[:, i] + total[:, j] + mix(name.astype(np.uint64))).ravel()
-        held = (count[:, i] + count[:, j]).ravel()
+        elements, held = (total, count) if j is None else (total[:, i] + total[:, j], count[:, i] + count[:, j])
+        sig, held = mix(elements + mix(name.astype(np.uint64))).ravel(), held.ravel()
         each = np.repeat(set_of, len(i))
         ranked = np.lexsort((sig, -held, each))
         nth = np.arange(len(each)) - (lead[:-1] * len(i))[each]
