@@ -1,4 +1,11 @@
-"""A corpus from raw documents: language, copies, near copies, mix, tokens."""
+"""A corpus from raw documents: language, copies, near copies, mix, tokens.
+
+Each stage takes all that its predecessor kept and says in its own module what it does with nulls, ties and
+repeats: texts without a letter go in the first, so null and empty ones never come further; of equal texts the
+row with the largest doc_id stays, of near copies the smallest; rows that agree in doc_id and text are one, the
+first by all their columns, so reruns agree; extra columns travel along whatever their names, and the last
+stage returns ids and digests alone. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -60,3 +60,23 @@ def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
     out = df.crossJoin(F.broadcast(m))  # one row
     z = {c: (F.col(c) - F.col(f"__{c}.m")) / F.when(F.col(f"__{c}.s") == 0, 1.0).otherwise(F.col(f"__{c}.s")) for c in columns}
     return out.withColumns(z).drop(*[f"__{c}" for c in columns])
+
+
+META14 = ["log_followers", "log_following", "ratio", "log_posts", "log_rate", "years", "video_pct", "carousel_pct", "hour_mean", "hour_sd", "hashtag_pct", "place_pct", "caption_length", "has_bio"]
+
+
+def meta14(profiles: DataFrame, posts: DataFrame, account: str, ts: str, marks: dict[str, Column], length: Column, as_of: str) -> DataFrame:
+    """The 14 metadata features of each profile (followers, following, bio): shares are 0 without posts, months 3 at least."""
+    day, zero = F.to_date(ts), lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    a = posts.groupBy(account).agg(
+        F.count("*").alias("n"), F.min(day).alias("__first"), F.max(day).alias("__last"), F.avg(F.hour(ts)).alias("hour_mean"), F.when(F.count("*") > 1, F.stddev_pop(F.hour(ts))).otherwise(0.0).alias("hour_sd"),
+        *[(100 * F.avg(c.cast("int"))).alias(n) for n, c in marks.items()], F.avg(length).alias("caption_length"),
+    )
+    d = profiles.join(a, account, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    months = F.coalesce(F.greatest(F.lit(3.0), F.datediff("__last", "__first") / 30.44), F.lit(3.0))
+    log = lambda c: F.log1p(F.greatest(F.lit(0.0), F.coalesce(c.cast("double"), F.lit(0.0))))
+    return d.select(
+        account, log(F.col("followers")).alias("log_followers"), log(F.col("following")).alias("log_following"), F.when(F.col("following") != 0, F.col("followers") / F.col("following")).otherwise(0.0).alias("ratio"), log(F.col("n")).alias("log_posts"),
+        log(F.col("n") / months).alias("log_rate"), F.coalesce(F.datediff(F.lit(as_of).cast("date"), "__first") / 365.25, F.lit(0.0)).alias("years"),
+        *[zero(c).alias(c) for c in ("video_pct", "carousel_pct", "hour_mean", "hour_sd", "hashtag_pct", "place_pct", "caption_length")], (F.trim(F.coalesce("bio", F.lit(""))) != "").cast("int").cast("double").alias("has_bio"),
+    )
