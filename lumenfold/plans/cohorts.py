@@ -276,7 +276,7 @@ ws as (select test, count(*) as m, coalesce(sum(mid) filter (d > 0), 0) as w, su
 wz as (select *, m * (m + 1) / 4.0::double as mean, m::double * (m + 1) * (2 * m + 1) / 24 - tt / 48 as var from ws),
 wp as (select test, case when m >= 5 then case when var <= 0 then 1.0 else least(1.0, 2 * {N.normal_tail_sql(d)}) end end as wp from wz),
 sp as (select c1.*, wp, case when up + down > 0 then least(1.0, 2 * (select sum(exp(lgamma(up + down + 1) - lgamma(i + 1) - lgamma(up + down - i + 1) - (up + down) * ln(2))) from unnest(range(0, least(up, down) + 1)) u(i))) end as sign_p from c1 left join wp using (test)),
-bh as (select *, case when wp is not null then wp * count(wp) over () / rank() over (order by wp nulls last) end as raw, row_number() over (order by wp nulls last) as pl from sp),
+bh as (select *, case when wp is not null then wp * count(wp) over () / row_number() over (order by wp nulls last, test) end as raw, row_number() over (order by wp nulls last, test) as pl from sp),
 out_ as (select test, n, up, down, round(diff, 6) as diff, k1, n1, k0, n0, round(sign_p, 6) as sign_p, round(wp, 6) as wilcoxon_p, case when wp is not null then round(least(1.0, min(raw) over (order by pl rows between current row and unbounded following)), 6) end as q from bh)"""
 
 
@@ -329,7 +329,7 @@ st as (select test, count(*) filter (pos) as n1, count(*) filter (not pos) as n0
 uu as (select *, r1 - n1 * (n1 + 1) / 2.0::double as u, n1::double * n0 / 12 * ((n1 + n0 + 1) - ties / ((n1 + n0)::double * (n1 + n0 - 1))) as var from st),
 pp as (select test, u / (n1::double * n0) as auc, case when var <= 0 then 1.0 else least(1.0, 2 * {N.normal_tail_sql('(u - n1::double * n0 / 2) / sqrt(nullif(var, 0))')}) end as p from uu),
 md as (select test, median(v) filter (pos) as m1, median(v) filter (not pos) as m0 from u group by test),
-qq as (select pp.*, m1, m0, p * count(*) over () / rank() over (order by p) as raw, row_number() over (order by p) as pl from pp join md using (test))"""
+qq as (select pp.*, m1, m0, p * count(*) over () / row_number() over (order by p, pp.test) as raw, row_number() over (order by p, pp.test) as pl from pp join md using (test))"""
 
 
 @query(f"with {_UNI} select test, round(auc, 6) as auc, round(m1, 6) as median1, round(m0, 6) as median0, case when m1 > m0 then '>' when m1 < m0 then '<' else '=' end as direction, round(p, 6) as p, round(least(1.0, min(raw) over (order by pl rows between current row and unbounded following)), 6) as q from qq")

@@ -75,3 +75,50 @@ def newest(files: DataFrame, id_: str, prefix: str, stamp: str, file: str) -> Da
     """(file): the latest one most of whose ids begin with prefix."""
     by = files.groupBy(file).agg(F.avg(F.col(id_).startswith(prefix).cast("int")).alias("share"), F.max(stamp).alias("at"))
     return by.where("share > 0.5").orderBy(F.desc("at"), F.desc(file)).limit(1).select(file)
+
+
+def seed_list(spark: SparkSession, path: str, classes: list[str]) -> DataFrame:
+    """(handle, class, note) of lines 'handle,class[,note]' whose class is known; blank and # lines are left out."""
+    rows = spark.read.text(path).where("trim(value) <> '' and not startswith(trim(value), '#')").select(F.transform(F.split("value", ",", 3), F.trim).alias("p"))
+    at = lambda i: F.get("p", F.lit(i))
+    handle = F.nullif(F.regexp_replace(F.lower(at(0)), "^@", ""), F.lit(""))
+    return rows.select(handle.alias("handle"), F.lower(at(1)).alias("class"), at(2).alias("note")).where(F.col("handle").isNotNull() & F.col("class").isin(classes))
+
+
+def intake_list(spark: SparkSession, path: str, formats: list[str]) -> DataFrame:
+    """(id, handle, start, stop) of a CSV of users: handles bare, dates by the first format that fits, the last day whole; rows whose dates do not parse are left out."""
+    from ..functions.text import date_any, handle
+
+    rows = csv(spark, path, "id string, user string, start string, stop string")
+    d = rows.select("id", handle("user").alias("handle"), date_any("start", formats).alias("start"), date_any("stop", formats).alias("stop"))
+    return d.where("start is not null and stop is not null").withColumn("stop", F.col("stop") + F.expr("interval '23:59:59' hour to second"))
+
+
+def exported(spark: SparkSession, path: str, schema: str, field: str, status: str | None = None, column: str = "status") -> DataFrame:
+    """The rows of an export, an object with an array field or a bare list, those of one status if it is named."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("value").alias("v"))
+    listed = F.from_json("v", f"array<struct<{schema}>>")
+    inside = F.from_json("v", f"struct<`{field}`: array<struct<{schema}>>>")[field]
+    rows = whole.select(F.explode(F.when(F.ltrim("v").startswith("["), listed).otherwise(inside)).alias("e")).select("e.*")
+    return rows.where(F.col(column) == status) if status is not None else rows
+
+
+def resolve_path(options: dict[str, str], name: str, folders: list[str], exists) -> str | None:
+    """A study file's path: the option that names it, else the first folder that has it, else None."""
+    candidates = ([options[name]] if options.get(name) else []) + [f"{f.rstrip('/')}/{name}" for f in folders]
+    return next((c for c in candidates if exists(c)), None)
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """Rows as JSON lines, one nested object each, committed as a whole: readers see all of it or nothing."""
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
+
+
+def markdown(df: DataFrame, title: str, most: int = 200) -> str:
+    """A small result table as Markdown; a report is for reading, so longer tables are refused rather than cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{title}: more than {most} rows are no table of a report")
+    shown = lambda v: "" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
+    lines = [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
+    return "\n".join(lines + ["| " + " | ".join(map(shown, r)) + " |" for r in rows]) + "\n"

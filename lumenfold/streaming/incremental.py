@@ -45,3 +45,21 @@ def snowball(seeds: DataFrame, step: Callable[[DataFrame], DataFrame], key: str,
             return known
         known = store(known.unionByName(frontier))
     raise RuntimeError(f"no fixed point within {most} rounds")
+
+
+def budgeted(todo: DataFrame, order: list, spent: int, daily: int, share: float) -> DataFrame:
+    """What one stage may take today: its share of what is left of a common daily number, in order."""
+    return todo.orderBy(*order).limit(max(0, int((daily - spent) * share)))
+
+
+def fixpoint(round_: Callable[[int], DataFrame], key: str, store: Callable[[DataFrame], DataFrame], target: int, still: int = 2) -> tuple[DataFrame, int]:
+    """Rounds of growth until target keys are known, or so many rounds in a row bring nothing new: (known, rounds)."""
+    known, without, n = None, 0, 0
+    while True:
+        new = round_(n).select(key).distinct()
+        fresh = store(new if known is None else new.join(known, key, "left_anti"))
+        n += 1
+        without = without + 1 if fresh.isEmpty() else 0
+        known = fresh if known is None else known if without else store(known.unionByName(fresh))
+        if without == still or known.count() >= target:
+            return known, n
