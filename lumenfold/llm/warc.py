@@ -17,10 +17,16 @@ without magic in payloads end after a round, and payload text never enters the j
 Defined results: null html is an empty payload; a null url gives a urn of the id; ids that repeat with
 equal payloads are all responses if they are the smallest; no pages give no records; a record cut off
 at the end of a file, or one whose header has no length, ends its chain and is not returned.
+
+Torn payloads, those with magic inside, are read again: the number of splits is fixed for both scans, so that
+lost executors do not change it, and a payload of another size than the first scan's is an error, not a result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -143,36 +149,62 @@ def reachable(found: DataFrame) -> DataFrame:
     return reached
 
 
+@contextmanager
+def _same_splits(spark: SparkSession) -> Iterator[None]:
+    """Both scans of the archives are cut alike, however many executors there are at the time."""
+    name = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, before or str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record of the archives.
 
     A response's size and digest come from the payload read; a revisit's from its headers.
     """
-    found = stored(candidates(spark, path), "warc-candidates")
-    kept = found.join(reachable(found), ["file", "run"]).where("offset >= enter")
-    whole = kept.where("type = 'revisit' or payload_bytes is not null")
-    torn = kept.where("type = 'response' and payload_bytes is null").select("file", "n", "offset", "succ", "page_id")
-    columns = [
-        "page_id",
-        F.when(F.col("type") == "revisit", F.col("http_length")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(F.col("type") == "revisit", F.col("said")).otherwise(F.col("digest")).alias("payload_digest"),
-        F.col("type").alias("record_type"),
-        "refers_to",
-    ]
-    out = whole.select(*columns)
-    return out if torn.isEmpty() else out.unionByName(_rejoined(spark, path, found, torn))
+    with _same_splits(spark):
+        found = stored(candidates(spark, path), "warc-candidates")
+        kept = found.join(reachable(found), ["file", "run"]).where("offset >= enter")
+        alone = F.col("succ") == F.col("offset") + F.col("size") + len(MAGIC)
+        again = F.col("type") == "revisit"
+        columns = [
+            "page_id",
+            F.when(again, F.col("http_length")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+            F.when(again, F.col("said")).otherwise(F.col("digest")).alias("payload_digest"),
+            F.col("type").alias("record_type"),
+            "refers_to",
+        ]
+        out = kept.where(alone & (again | F.col("payload_bytes").isNotNull())).select(*columns)
+        torn = kept.where(~alone & (F.col("type") == "response")).select("file", "offset", "succ", "page_id")
+        return out if torn.isEmpty() else out.unionByName(_rejoined(spark, path, found, torn))
 
 
 def _rejoined(spark: SparkSession, path: str, found: DataFrame, torn: DataFrame) -> DataFrame:
     """The responses whose payload holds magic lines: their pieces in order, joined to one payload."""
-    rows = found.select("file", "split", "row", F.col("n").alias("piece"), F.col("offset").alias("place"))
-    parts = rows.join(torn, "file").where("place >= offset and place < succ").select("file", "split", "row", "piece", "n", "offset", "page_id")
+    magic = len(MAGIC)
+    rows = found.select("file", "split", "row", "size", F.col("n").alias("piece"), F.col("offset").alias("place"))
+    parts = rows.join(torn, "file").where("place >= offset and place < succ")
+    # pieces that end before or beyond the record's end are those of a record cut off
+    sound = F.sum(F.col("size") + magic).over(Window.partitionBy("file", "offset")) == F.col("succ") - F.col("offset")
+    parts = parts.withColumn("sound", sound).where("sound").select("file", "split", "row", "piece", "offset", "succ", "page_id")
     text = _pieces(spark, path).select("file", "split", "row", "value")
-    block = stored(parts, "warc-torn").join(text, ["file", "split", "row"]).groupBy("file", "offset", "page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "value"))), lambda x: x["value"]), MAGIC).alias("value"))
+    # a piece that the second scan lacks is null, and its payload then too short
+    both = stored(parts, "warc-torn").join(text, ["file", "split", "row"], "left").groupBy("file", "offset", "succ", "page_id")
+    block = both.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "value"))), lambda x: x["value"]), MAGIC).alias("value"))
+    wrong = F.raise_error(F.lit("the second scan of the archives has other pieces than the first"))
+    same = F.octet_length("value") + magic == F.col("succ") - F.col("offset")
+    block = block.select("page_id", F.when(same, F.col("value")).otherwise(wrong.cast("string")).alias("value"))
     block = block.select("page_id", F.expr("substring(value, instr(value, '\r\n\r\n') + 4)").alias("body"))
     body = block.select("page_id", F.expr("substring(body, instr(body, '\r\n\r\n') + 4)").alias("payload"))
     body = body.select("page_id", F.expr("left(payload, char_length(payload) - 4)").alias("payload"))
-    return body.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    none = F.lit(None).cast("long").alias("refers_to")
+    made = body.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"), F.lit("response").alias("record_type"), none)
+    return stored(made, "warc-rejoined")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

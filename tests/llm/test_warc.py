@@ -70,4 +70,22 @@ def test_a_cut_archive_keeps_its_whole_records(spark, tmp_path):
     part.write_bytes(part.read_bytes()[:-30])
     for crc in (tmp_path / "w").glob(".*.crc"):
         crc.unlink()
-    assert {r["page_id"] for r in warc.read(spark, f"{tmp_path}/w").collect()} >= {0, 1, 2, 3}
+    got = warc.read(spark, f"{tmp_path}/w").collect()
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in got) == [(i, 9) for i in range(4)]
+
+
+def test_a_torn_record_cut_off_is_not_returned(spark, tmp_path):
+    rows = [(i, "u", f"payload {i}" + FAKE * 2, None) for i in range(3)]
+    warc.write(spark.createDataFrame(rows, SCHEMA).coalesce(1).orderBy("page_id"), f"{tmp_path}/w")
+    part = next(p for p in (tmp_path / "w").glob("part-*") if p.stat().st_size)
+    part.write_bytes(part.read_bytes()[:-120])
+    for crc in (tmp_path / "w").glob(".*.crc"):
+        crc.unlink()
+    got = warc.read(spark, f"{tmp_path}/w").collect()
+    assert sorted(tuple(r)[:2] for r in got) == [(i, len(rows[i][2])) for i in range(2)]
+
+
+def test_reading_leaves_the_session_as_it_was(spark, tmp_path):
+    before = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    round_trip(spark, f"{tmp_path}/w", [(1, "u", FAKE, None)])
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) == before
