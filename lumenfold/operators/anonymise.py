@@ -8,7 +8,7 @@ Scale: words are looked up by an equi-join with the known handles, and a row car
 no list of handles is broadcast and no row grows with its profile. Numbering a profile's people is one task's work.
 
 Defined results: null strings stay null; U+E000 is used as a mark and dropped from texts; a row without handles is
-unchanged; a null own handle matches nothing; an empty table gives no rows.
+unchanged; a null own handle matches nothing; rows of one key share their labels, null keys are keys; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -85,18 +85,18 @@ def project_anonymous(
     held = [s for f in fields if (s := strings(F.col(f"`{f.name}`"), f.dataType, f.name, ready, keep, drop)) is not None]
     texts = F.concat(*[F.coalesce(s, F.array().cast("array<string>")) for s in held]) if held else F.array().cast("array<string>")
     found = F.flatten(F.transform(F.array_compact(texts), lambda s: F.regexp_extract_all(s, F.lit(TOKEN), F.lit(0))))
-    row = [by, *key]
-    rows = list(dict.fromkeys([*row, order]))
-    words = df.select(*rows, F.lower(F.col(own)).alias("__own"), F.explode(F.array_distinct(found)).alias("__w"))
+    # structs are equal where their nulls are, so rows without a profile or key are cleaned as well
+    row, profile = F.struct(by, *key).alias("__row"), F.struct(by).alias("__by")
+    words = df.select(row, profile, F.col(order).alias("__order"), F.lower(F.col(own)).alias("__own"), F.explode(F.array_distinct(found)).alias("__w"))
     bare = F.lower(F.regexp_replace("__w", f"^[{MARK}@]", ""))
     words = words.withColumn("handle", bare).where(~F.col("handle").eqNullSafe(F.col("__own")))
     asked = F.col("__w").rlike(f"^[{MARK}@]") & F.length("handle").between(2, 30)
-    words = words.groupBy(*rows, "handle").agg(F.max(asked).alias("__asked"))
+    words = words.groupBy("__row", "__by", "handle").agg(F.max(asked).alias("__asked"), F.min("__order").alias("__order"))
     run = known.select(F.lower(F.trim("handle")).alias("handle")).where(F.length("handle") >= 4).distinct().withColumn("__known", F.lit(True))
     need = words.join(run, "handle", "left").where(F.col("__asked") | F.col("__known"))
-    names = pseudonyms(need.select(by, "handle", F.col(order).alias("__order")), by, "handle", "__order", label)
+    names = pseudonyms(need, "__by", "handle", "__order", label)
     entry = F.struct("handle", F.struct("alias", F.coalesce("__known", F.lit(False)).alias("known")))
-    maps = need.join(names, [by, "handle"]).groupBy(*row).agg(F.map_from_entries(F.collect_list(entry)).alias("__names"))
+    maps = need.join(names, ["__by", "handle"]).groupBy("__row").agg(F.map_from_entries(F.collect_list(entry)).alias("__names"))
 
     def put(c: Column, name: str) -> Column:
         t = ready(c, name)
@@ -114,5 +114,5 @@ def project_anonymous(
         joined = F.array_join(F.transform(parts, lambda p, i: F.concat(F.translate(p, MARK, ""), F.coalesce(F.get(new, i), F.lit("")))), "")
         return F.when(c.isNotNull(), joined)
 
-    both = df.join(maps, row, "left")
+    both = df.withColumn("__row", row).join(maps, "__row", "left")
     return both.select(*[rewritten(F.col(f"`{f.name}`"), f.dataType, f.name, put, keep, drop).alias(f.name) for f in fields])

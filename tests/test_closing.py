@@ -67,6 +67,12 @@ def test_every_string_of_the_schema_is_cleaned(spark):
     assert got["P2", 1]["caption"] == "plain words, no names" and got["P2", 1]["comment"]["said"] == ""
 
 
+def test_repeated_and_null_keys_leave_no_handle(spark):
+    rows = [(None, None, None, None, "- zoe on May 1", None, None, None), ("P1", 1, "me", None, "@ana", "x", None, None), ("P1", 1, "me", None, "@bob @ana", "y", None, None)]
+    got = sorted(r["caption"] for r in project(spark.createDataFrame(rows, SCHEMA), spark).collect())
+    assert got == ["- Anonymous_1 on May 1", "@[Anonymous 1]", "@[Anonymous 2] @[Anonymous 1]"]
+
+
 def test_no_rows_and_no_strings(spark):
     assert project(spark.createDataFrame([], SCHEMA), spark).count() == 0
     df = spark.range(3).select(F.col("id").alias("pid"), F.col("id").alias("post"), F.lit(None).cast("string").alias("handle"), (F.col("id") * 2).alias("n"))
