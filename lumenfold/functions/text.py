@@ -60,11 +60,15 @@ def lexicon_hits(toks: Column, exact: list[str], prefixes: list[str]) -> Column:
 
 
 def parse_count(c) -> Column:
-    """'1,180', '25.2K', '1.2M' as a number, fractions cut; null if it is none."""
+    """'1,180', '25.2K', '1.2M' as a number, fractions cut; null if it is none or no long.
+
+    Decimals of 12 places, not doubles: 32773.2 times 1000 in doubles lies below 32773200.
+    """
     bare = F.upper(F.replace(F.trim(col(c)), F.lit(","), F.lit("")))
     unit = F.right(bare, F.lit(1))
-    num = F.regexp_replace(bare, "[KM]$", "").try_cast("double")
-    return F.floor(F.when(unit == "K", num * 1000).when(unit == "M", num * 1_000_000).otherwise(num) + 1e-9).cast("long")
+    num, thousands = (F.regexp_replace(bare, "[KM]$", "").try_cast(t) for t in ("decimal(38,12)", "decimal(30,12)"))
+    times = lambda n: F.floor(thousands * F.lit(n).cast("decimal(7,0)")).try_cast("long")
+    return F.when(unit == "K", times(1000)).when(unit == "M", times(1_000_000)).otherwise(F.floor(num).try_cast("long"))
 
 
 def handle(c) -> Column:
