@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text
+from lumenfold.operators import statistics
 
 
 def test_counts_with_units_are_exact(spark):
@@ -11,3 +12,9 @@ def test_counts_with_units_are_exact(spark):
     assert {r.s: r.n for r in got} == shown
     wrong = spark.range(27000, 33000).where(text.parse_count(F.format_string("%.1fK", F.col("id") * 1.2)) != F.col("id") * 1200)
     assert wrong.count() == 0
+
+
+def test_wilcoxon_of_millions_of_rows(spark):
+    d = spark.range(4_000_000).select(F.lit("t").alias("t"), F.when(F.col("id") % 2 == 0, F.col("id") % 7 + 1).otherwise(-(F.col("id") % 5) - 1).cast("double").alias("d"))
+    r = statistics.wilcoxon(d, "t", "d").first()
+    assert r.n == 4_000_000 and 0 <= r.p <= 1
