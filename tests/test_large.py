@@ -1,9 +1,11 @@
 """What only shows on larger numbers or tables: exact counts, sums beyond a long, work that grows with pairs."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text
-from lumenfold.operators import statistics
+from lumenfold.operators import pairs, statistics
+from lumenfold.plans import catalog
 
 
 def test_counts_with_units_are_exact(spark):
@@ -18,3 +20,34 @@ def test_wilcoxon_of_millions_of_rows(spark):
     d = spark.range(4_000_000).select(F.lit("t").alias("t"), F.when(F.col("id") % 2 == 0, F.col("id") % 7 + 1).otherwise(-(F.col("id") % 5) - 1).cast("double").alias("d"))
     r = statistics.wilcoxon(d, "t", "d").first()
     assert r.n == 4_000_000 and 0 <= r.p <= 1
+
+
+def people(spark, n, seed=7):
+    import random
+
+    r = random.Random(seed)
+    some = lambda p, x: None if r.random() < p else x
+    score = lambda: r.choice([None, float("nan"), *[r.randint(0, 6) * 1.0, round(r.random() * 6, 1)] * 8])
+    cases = [(some(0.05, r.randint(0, 1)), r.randint(0, n), some(0.05, r.randint(15, 20)), r.randint(0, 2), r.randint(0, 2), score()) for _ in range(n)]
+    controls = [(some(0.05, r.randint(0, 1)), r.randint(0, 4 * n), lo := r.randint(13, 20), lo + r.randint(-1, 4), r.randint(0, 2), some(0.05, r.randint(0, 2)), score()) for _ in range(3 * n)]
+    return spark.createDataFrame(cases, "block int, case_key long, value int, i int, j int, score double"), spark.createDataFrame(controls, "block int, control_key long, lo int, hi int, i int, j int, score double")
+
+
+@pytest.mark.parametrize(("ratio", "relax", "reach"), [(2, True, 2), (4, True, 2), (3, False, 2), (30, True, 1)])
+def test_scarce_is_greedy_over_eligible_pairs(spark, ratio, relax, reach):
+    # repeated keys, equal and missing scores, rows without block, value or stratum; bounds in order, as eligible has them
+    cases, controls = people(spark, 60)
+    controls = controls.where("lo <= hi")
+    want = pairs.greedy(pairs.eligible(cases, controls, ["block"], reach), ["block"], ratio, relax).collect()
+    got = pairs.scarce(cases, controls, ["block"], ratio, reach, relax)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and want
+    assert pairs.scarce(cases.limit(0), controls, ["block"], ratio).count() == pairs.scarce(cases, controls.limit(0), ["block"], ratio).count() == 0
+
+
+#: Generate spreads intervals for the join that makes pairs.
+def makes_pairs(spark, name):
+    return "Generate" in catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
+def test_greedy_makes_no_pairs(spark):
+    assert not makes_pairs(spark, "mt_greedy_scarce")
