@@ -51,3 +51,15 @@ def makes_pairs(spark, name):
 
 def test_greedy_makes_no_pairs(spark):
     assert not makes_pairs(spark, "mt_greedy_scarce")
+
+
+def test_invariants_look_pairs_up(spark):
+    assert not makes_pairs(spark, "mt_invariants")
+    cases, controls = people(spark, 20)
+    every = cases.select("block", "case_key").distinct().crossJoin(controls.select("control_key").distinct()).dropna()
+    held = {(r.block, r.case_key, r.control_key): r.strata_apart for r in pairs.strata_apart(every, cases, controls, ["block"]).collect()}
+    want = {}
+    for r in pairs.eligible(cases, controls.where("lo <= hi"), ["block"]).collect():
+        k = (r.block, r.case_key, r.control_key)
+        want[k] = min(r.strata_apart, want.get(k, 9))
+    assert {k: d for k, d in held.items() if d is not None} == want and len(held) > len(want)
