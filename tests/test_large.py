@@ -63,3 +63,7 @@ def test_invariants_look_pairs_up(spark):
         k = (r.block, r.case_key, r.control_key)
         want[k] = min(r.strata_apart, want.get(k, 9))
     assert {k: d for k, d in held.items() if d is not None} == want and len(held) > len(want)
+
+
+def test_unmatched_makes_no_pairs(spark):
+    assert not makes_pairs(spark, "mt_unmatched")
