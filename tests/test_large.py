@@ -67,3 +67,11 @@ def test_invariants_look_pairs_up(spark):
 
 def test_unmatched_makes_no_pairs(spark):
     assert not makes_pairs(spark, "mt_unmatched")
+
+
+def test_closing_makes_no_pairs(spark, monkeypatch):
+    def none(*_, **__):
+        raise AssertionError("a pair table")
+
+    monkeypatch.setattr(pairs, "eligible", none)
+    assert catalog.QUERIES["mt_pipeline"](spark, "/root/testdata/sf0.001").columns[0] == "cases"
