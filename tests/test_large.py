@@ -1,9 +1,12 @@
 """What only shows on larger numbers or tables: exact counts, sums beyond a long, work that grows with pairs."""
 
+import hashlib
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenfold.functions import text
+from lumenfold.functions import draws, text
 from lumenfold.operators import pairs, statistics
 from lumenfold.plans import catalog
 
@@ -75,3 +78,33 @@ def test_closing_makes_no_pairs(spark, monkeypatch):
 
     monkeypatch.setattr(pairs, "eligible", none)
     assert catalog.QUERIES["mt_pipeline"](spark, "/root/testdata/sf0.001").columns[0] == "cases"
+
+
+def at_random(text, n):
+    return int(hashlib.md5(text.encode()).hexdigest()[:12], 16) % n
+
+
+def test_draws_are_hashes():
+    for prefix, n in (("k:0:", 12), ("k:1999:", 20001), ("x" * 54, 150), ("x" * 70, 30), ("é:", 105), ("", 1), ("", 0)):
+        got = [int(x) for at in draws.drawn(prefix, n) for x in at]
+        assert got == [at_random(f"{prefix}{i}", n) for i in range(n)]
+
+
+def joins(df):
+    return "Join" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_auc_interval_without_joined_draws(spark):
+    rows = [(float(i * 37 % 11) + i % 3, i % 3 == 0) for i in range(50)] + [(None, True), (None, False), (float("nan"), True), (1.0, None)]
+    df = statistics.auc_boot(spark.createDataFrame(rows, "v double, pos boolean"), "v", "pos", replicates=60)
+    assert not joins(df)
+    rank = lambda x: (x is None, x != x, x if x == x else 0)
+    side = {c: sorted([v for v, p in rows if p is c], key=rank) for c in (True, False)}
+    aucs = []
+    for b in range(60):
+        d = {c: [x for i in range(len(v)) if (x := v[at_random(f"a:{b}:{str(c).lower()}:{i}", len(v))]) is not None] for c, v in side.items()}
+        wins = [(rank(x) > rank(y)) + (rank(x) == rank(y)) / 2 for x in d[True] for y in d[False]]
+        aucs.append(sum(wins) / len(wins))
+    got = df.first()
+    assert got.replicates == 60 and np.allclose([got.lo, got.hi], np.percentile(aucs, [2.5, 97.5]))
+    assert tuple(statistics.auc_boot(spark.createDataFrame([], "v double, pos boolean"), "v", "pos", 5).first()) == (None, None, 0)
