@@ -108,3 +108,14 @@ def test_auc_interval_without_joined_draws(spark):
     got = df.first()
     assert got.replicates == 60 and np.allclose([got.lo, got.hi], np.percentile(aucs, [2.5, 97.5]))
     assert tuple(statistics.auc_boot(spark.createDataFrame([], "v double, pos boolean"), "v", "pos", 5).first()) == (None, None, 0)
+
+
+def test_ratio_interval_without_joined_draws(spark):
+    rows = [((i * 37 % 23 + 1) / 7,) for i in range(40)] + [(None,)] * 3
+    df = statistics.ratio_boot(spark.createDataFrame(rows, "x double"), "x", replicates=60)
+    assert not joins(df)
+    v = sorted(np.log(x) for x, in rows if x) + [None] * 3
+    gs = [np.exp(np.mean([x for i in range(43) if (x := v[at_random(f"r:{b}:{i}", 43)]) is not None])) for b in range(60)]
+    got = df.first()
+    assert got.replicates == 60 and np.allclose([got.lo, got.hi], np.percentile(gs, [2.5, 97.5]))
+    assert tuple(statistics.ratio_boot(spark.createDataFrame([], "x double"), "x", 5).first()) == (None, None, 0)
