@@ -119,3 +119,19 @@ def test_ratio_interval_without_joined_draws(spark):
     got = df.first()
     assert got.replicates == 60 and np.allclose([got.lo, got.hi], np.percentile(gs, [2.5, 97.5]))
     assert tuple(statistics.ratio_boot(spark.createDataFrame([], "x double"), "x", 5).first()) == (None, None, 0)
+
+
+def test_kappa_replicates_are_spread_and_counted_in_place(spark):
+    rows = [(i % 2, int(i % 5 == 0)) for i in range(30)] + [(None, 1)]
+    df = statistics.kappa_boot(spark.createDataFrame(rows, "a int, b int"), "a", "b", replicates=40)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan and "Generate" not in plan
+    cells, ks = sorted(r for r in rows if r[0] is not None), []
+    for b in range(40):
+        d = np.array([cells[at_random(f"k:{b}:{i}", 30)] for i in range(30)])
+        pa, pb = d.mean(0)
+        pe = pa * pb + (1 - pa) * (1 - pb)
+        ks.append(((d[:, 0] == d[:, 1]).mean() - pe) / (1 - pe))
+    got = df.first()
+    assert got.replicates == 40 and np.allclose([got.lo, got.hi], np.percentile(ks, [2.5, 97.5]))
+    assert tuple(statistics.kappa_boot(spark.createDataFrame([], "a int, b int"), "a", "b", 5).first()) == (None, None, 0)
