@@ -165,10 +165,10 @@ def srt_desc_date(t):
 @query("""with p as (select s_suppkey, c_custkey, abs(s_nationkey % 5 - c_nationkey % 5) as far, round(abs(s_acctbal - c_acctbal), 2) as apart from supplier join customer on s_nationkey // 5 = c_nationkey // 5)
 select s_suppkey, c_custkey, place from (select *, row_number() over (partition by s_suppkey order by far, apart, c_custkey) as place from p) where place <= 3""")
 def srt_multi_key(t):
-    s, c = t("supplier"), t("customer")
-    p = s.join(c, F.floor(F.col("s_nationkey") / 5) == F.floor(F.col("c_nationkey") / 5))
-    p = p.select("s_suppkey", "c_custkey", F.abs(F.col("s_nationkey") % 5 - F.col("c_nationkey") % 5).alias("far"), F.round(F.abs(F.col("s_acctbal") - F.col("c_acctbal")), 2).alias("apart"))
-    return C.nearest(p, ["s_suppkey"], ["far", "apart", "c_custkey"], 3).select("s_suppkey", "c_custkey", "place")
+    side = lambda table, p, key: t(table).select(F.col(key), F.floor(F.col(f"{p}_nationkey") / 5).alias("block"), (F.col(f"{p}_nationkey") % 5).alias("level"), F.col(f"{p}_acctbal").alias("score"))
+    p = C.nearest_candidates(side("supplier", "s", "s_suppkey"), side("customer", "c", "c_custkey"), "block", "level", "score", "c_custkey", 3, slack=0.02)
+    p = p.select(F.col("l_s_suppkey").alias("s_suppkey"), F.col("r_c_custkey").alias("c_custkey"), F.abs(F.col("l_level") - F.col("r_level")).alias("far"), F.round(F.abs(F.col("l_score") - F.col("r_score")), 2).alias("apart"))
+    return C.nearest(p, ["s_suppkey"], ["far", F.col("apart").asc_nulls_last(), "c_custkey"], 3).select("s_suppkey", "c_custkey", "place")
 
 
 @query("""with s as (select c_custkey as k, 1 as stage, c_acctbal as v from customer union all select o_custkey, 2, max(o_totalprice) from orders group by o_custkey)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.functions import draws, numbers, text
-from lumenfold.operators import pairs, statistics
+from lumenfold.operators import cohorts, pairs, statistics
 from lumenfold.plans import catalog
 
 
@@ -151,3 +151,21 @@ def test_fisher_of_many_tables_takes_one_pass_each(spark):
         return min(1.0, sum(math.exp(v) for v in ls.values() if v <= ls[a] + 1e-7))
 
     assert got == pytest.approx([brute(*r) for r in rows], abs=1e-7)
+
+
+def test_nearest_candidates_hold_the_first_of_all_pairs(spark, tmp_path):
+    import random
+
+    r = random.Random(3)
+    some = lambda p, x: None if r.random() < p else x
+    balance = lambda: r.choice([None, float("nan"), *[round(r.random() * 3, 2), r.randint(0, 2) * 1.0] * 6])
+    s = spark.createDataFrame([(i % 70, some(0.05, r.randint(0, 14)), balance()) for i in range(80)], "s_suppkey long, s_nationkey int, s_acctbal double")
+    c = spark.createDataFrame([(i, some(0.05, r.choice([0, 2, 2, 2, 4, 5, 9, 9, 12])), balance()) for i in range(300)], "c_custkey long, c_nationkey int, c_acctbal double")
+    s.coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    c.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    df = catalog.QUERIES["srt_multi_key"](spark, str(tmp_path))
+    assert not joins(df)
+    p = s.join(c, F.floor(F.col("s_nationkey") / 5) == F.floor(F.col("c_nationkey") / 5))
+    p = p.select("s_suppkey", "c_custkey", F.abs(F.col("s_nationkey") % 5 - F.col("c_nationkey") % 5).alias("far"), F.round(F.abs(F.col("s_acctbal") - F.col("c_acctbal")), 2).alias("apart"))
+    want = cohorts.nearest(p, ["s_suppkey"], ["far", F.col("apart").asc_nulls_last(), "c_custkey"], 3).select("s_suppkey", "c_custkey", "place").collect()
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, want)) and len(want) > 150
