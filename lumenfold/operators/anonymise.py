@@ -101,17 +101,20 @@ def project_anonymous(
     def put(c: Column, name: str) -> Column:
         t = ready(c, name)
 
-        def one(m: Column) -> Column:
-            plain = F.regexp_replace(m, f"^[{MARK}@]", "")
-            held = F.element_at(F.col("__names"), F.lower(plain))
-            at, loose = m.startswith("@"), ~m.rlike(f"^[{MARK}@]")
-            mine = F.coalesce(F.lower(plain) == F.lower(F.col(f"`{own}`")), F.lit(False))
+        # each step binds what the next one uses, so a word is looked up once: what a lambda only refers to is made anew for every element
+        word = lambda m: F.struct(m.alias("m"), F.lower(F.ltrim(m, F.lit(f"{MARK}@"))).alias("handle"), (~F.left(m, F.lit(1)).isin("@", MARK)).alias("loose"))
+        look = lambda x: F.struct(x["m"], x["handle"], x["loose"], F.element_at(F.col("__names"), x["handle"]).alias("held"))
+
+        def one(x: Column) -> Column:
+            m, held, at = x["m"], x["held"], x["m"].startswith("@")
+            mine = F.coalesce(x["handle"] == F.lower(F.col(f"`{own}`")), F.lit(False))
             id_ = F.col(f"`{me}`").cast("string")
-            stays = held.isNull() | (loose & ~held["known"])
+            stays = held.isNull() | (x["loose"] & ~held["known"])
             return F.when(mine & at, F.concat(F.lit("@"), id_)).when(mine, id_).when(stays, F.translate(m, MARK, "")).when(at, F.concat(F.lit("@["), held["alias"], F.lit("]"))).otherwise(F.translate(held["alias"], " ", "_"))
 
-        parts, new = F.split(t, TOKEN, -1), F.transform(F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0)), one)
-        joined = F.array_join(F.transform(parts, lambda p, i: F.concat(F.translate(p, MARK, ""), F.coalesce(F.get(new, i), F.lit("")))), "")
+        found = F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0))
+        new = F.transform(F.transform(F.transform(found, word), look), one)
+        joined = F.array_join(F.zip_with(F.split(t, TOKEN, -1), new, lambda p, x: F.concat(F.translate(p, MARK, ""), F.coalesce(x, F.lit("")))), "")
         return F.when(c.isNotNull(), joined)
 
     both = df.withColumn("__row", row).join(maps, "__row", "left")
