@@ -40,9 +40,8 @@ def people(spark, n, seed=7):
 
 @pytest.mark.parametrize(("ratio", "relax", "reach"), [(2, True, 2), (4, True, 2), (3, False, 2), (30, True, 1)])
 def test_scarce_is_greedy_over_eligible_pairs(spark, ratio, relax, reach):
-    # repeated keys, equal and missing scores, rows without block, value or stratum; bounds in order, as eligible has them
+    # repeated keys, equal and missing scores, rows without block, value or stratum, bounds out of order
     cases, controls = people(spark, 60)
-    controls = controls.where("lo <= hi")
     want = pairs.greedy(pairs.eligible(cases, controls, ["block"], reach), ["block"], ratio, relax).collect()
     got = pairs.scarce(cases, controls, ["block"], ratio, reach, relax)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and want
@@ -64,7 +63,7 @@ def test_invariants_look_pairs_up(spark):
     every = cases.select("block", "case_key").distinct().crossJoin(controls.select("control_key").distinct()).dropna()
     held = {(r.block, r.case_key, r.control_key): r.strata_apart for r in pairs.strata_apart(every, cases, controls, ["block"]).collect()}
     want = {}
-    for r in pairs.eligible(cases, controls.where("lo <= hi"), ["block"]).collect():
+    for r in pairs.eligible(cases, controls, ["block"]).collect():
         k = (r.block, r.case_key, r.control_key)
         want[k] = min(r.strata_apart, want.get(k, 9))
     assert {k: d for k, d in held.items() if d is not None} == want and len(held) > len(want)
@@ -178,3 +177,10 @@ def test_anonymous_texts_take_time_by_their_words(spark):
     got = anonymise.project_anonymous(df, "pid", ["post"], "post", "handle", "pid", spark.createDataFrame([], "handle string")).first()
     assert time.monotonic() - began < 30  # every word for every word would be 144 million looks
     assert got.said == "@[Anonymous 1] said w1.x " * 4000
+
+
+def test_bounds_out_of_order_hold_nothing(spark):
+    cases = spark.createDataFrame([(0, 1, 19, 0, 0, 1.0)], "block int, case_key long, value int, i int, j int, score double")
+    controls = spark.createDataFrame([(0, 5, 24, 18, 0, 0, 1.0), (0, 6, 18, 24, 0, 0, 1.0), (0, 7, None, 24, 0, 0, 1.0)], "block int, control_key long, lo int, hi int, i int, j int, score double")
+    assert [r.control_key for r in pairs.eligible(cases, controls, ["block"]).collect()] == [6]
+    assert [r.control_key for r in pairs.scarce(cases, controls, ["block"], 2).collect()] == [6]
