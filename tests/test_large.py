@@ -184,3 +184,25 @@ def test_bounds_out_of_order_hold_nothing(spark):
     controls = spark.createDataFrame([(0, 5, 24, 18, 0, 0, 1.0), (0, 6, 18, 24, 0, 0, 1.0), (0, 7, None, 24, 0, 0, 1.0)], "block int, control_key long, lo int, hi int, i int, j int, score double")
     assert [r.control_key for r in pairs.eligible(cases, controls, ["block"]).collect()] == [6]
     assert [r.control_key for r in pairs.scarce(cases, controls, ["block"], 2).collect()] == [6]
+
+
+def test_pairs_of_rows_of_any_size(spark, monkeypatch):
+    cases, controls = people(spark, 60)
+    held = lambda a, b: None not in (a.block, a.value, a.i, a.j, b.i, b.j) and a.block == b.block and b.lo <= a.value <= b.hi and abs(a.i - b.i) + abs(a.j - b.j) <= 2
+    apart = lambda a, b: None if None in (a.score, b.score) else abs(a.score - b.score)
+    want = sorted(str((a.block, a.case_key, b.control_key, abs(a.i - b.i) + abs(a.j - b.j), apart(a, b))) for a in cases.collect() for b in controls.collect() if held(a, b))
+    for row, parts in ((1024, 16), (3, 2), (1, 1)):
+        monkeypatch.setattr(pairs, "ROW", row)
+        monkeypatch.setattr(pairs, "PARTS", parts)
+        assert sorted(str(tuple(r)) for r in pairs.eligible(cases, controls, ["block"]).collect()) == want and want
+
+
+def test_pairs_take_little_disk(spark, tmp_path):
+    # 1,500,000 pairs of one block and value, their scores repeated; rows as a plain join makes them took 2.13 MB
+    score = lambda n: (F.xxhash64(F.col("id") % n) % 500000 / 100).alias("score")
+    at = lambda n: [F.lit(0).alias("block"), (F.col("id") * 7919 % n).alias("key"), F.lit(20).alias("value"), (F.col("id") % 2).cast("int").alias("i"), F.lit(0).alias("j")]
+    cases = spark.range(500).select(*at(500), score(50)).withColumnRenamed("key", "case_key")
+    controls = spark.range(3000).select(*at(3000), score(1000)).withColumnsRenamed({"key": "control_key", "value": "lo"}).withColumn("hi", F.col("lo"))
+    pairs.eligible(cases, controls, ["block"]).write.parquet(f"{tmp_path}/pairs")
+    assert spark.read.parquet(f"{tmp_path}/pairs").distinct().count() == 1_500_000
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 1_000_000
